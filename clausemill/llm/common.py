@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every contract of this subpackage has it: a run of anything but ASCII white space.
@@ -46,11 +46,10 @@ def numbered(df: DataFrame, order: list, name: str, extra: dict[str, Column] | N
     """Add `row_no`, gapless from 0 in `order`, and for each of `extra` its sum over all rows before.
 
     Range partitions, a number within each, and the sums of the partitions before: one shuffle of
-    the rows, and only a row per partition is gathered. Ties in `order` are numbered in some order
+    the rows; what is broadcast has a row per partition. Ties in `order` are numbered in some order
     that is fixed once the rows are staged. `df` should be narrow.
     """
     extra = extra or {}
-    spark = df.sparkSession
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -61,23 +60,16 @@ def numbered(df: DataFrame, order: list, name: str, extra: dict[str, Column] | N
     totals = placed.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_t_{k}") for k, c in extra.items()]
     )
-    before: dict[str, int] = {"row_no": 0, **dict.fromkeys(extra, 0)}
-    rows = []
-    for r in sorted(totals.collect(), key=lambda r: r["_part"]):  # one row per partition
-        rows.append((r["_part"], *before.values()))
-        before["row_no"] += r["_rows"]
-        for k in extra:
-            before[k] += r[f"_t_{k}"]
-    schema = "_part int, " + ", ".join(f"_b_{k} long" for k in before)
-    starts = F.broadcast(spark.createDataFrame(rows, schema))
-    out = placed.join(starts, "_part").withColumn("row_no", F.col("_in_part") + F.col("_b_row_no"))
-    if extra:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("_part").orderBy("_in_part").rowsBetween(Window.unboundedPreceding, -1)
-        for k, c in extra.items():
-            out = out.withColumn(k, F.col(f"_b_{k}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.drop("_part", "_in_part", *[f"_b_{k}" for k in before])
+    so_far = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    sums = {"row_no": "_rows", **{k: f"_t_{k}" for k in extra}}
+    starts = totals.select(
+        "_part", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"_b_{k}") for k, c in sums.items()]
+    )
+    out = placed.join(F.broadcast(starts), "_part").withColumn("row_no", F.col("_in_part") + F.col("_b_row_no"))
+    w = Window.partitionBy("_part").orderBy("_in_part").rowsBetween(Window.unboundedPreceding, -1)
+    for k, c in extra.items():
+        out = out.withColumn(k, F.col(f"_b_{k}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.drop("_part", "_in_part", *[f"_b_{k}" for k in sums])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

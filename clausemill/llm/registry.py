@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_classifier, quality_rules, sharding, simhash
 
-MODULES = (quality_rules,)
+MODULES = (quality_rules, quality_classifier, sharding, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
