@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, quality_rules, sharding, simhash, token_store
+from . import decontamination, packing, quality_classifier, quality_rules, sharding, simhash, token_store
 
-MODULES = (quality_rules, quality_classifier, packing, sharding, simhash, token_store)
+MODULES = (quality_rules, decontamination, quality_classifier, packing, sharding, simhash, token_store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
