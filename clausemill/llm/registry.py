@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_classifier, quality_rules, sharding, simhash, token_store
+import corpus_pipeline
 
-MODULES = (quality_rules, decontamination, quality_classifier, packing, sharding, simhash, token_store)
+from . import chat_format, decontamination, licenses, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_store
+
+MODULES = (quality_rules, decontamination, quality_classifier, packing, licenses, chat_format, sharding, simhash, token_store, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
+    made = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
+    return made | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
