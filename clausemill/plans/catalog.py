@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, retrieval
+from . import documents, relational, retrieval
 
-MODULES = (retrieval, documents)
+MODULES = (retrieval, documents, relational)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
