@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, relational, retrieval
+from . import documents, lanes, relational, retrieval
 
-MODULES = (retrieval, documents, relational)
+MODULES = (retrieval, documents, relational, lanes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
