@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,11 +126,12 @@ def json_sidecar(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """The tumbling counts by a stream that is run to its end."""
-    schema = read(spark, sf, "events").schema
-    counts = streams.tumbling(streams.read_events(spark, f"{sf}/events.parquet", schema), "1 hour", "1 day", ["event_type"])
-    shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp()).as_uri()
-    name = f"tumbling_{abs(hash((sf, id(counts))))}"
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp()).as_uri()).rstrip("/")
+    name = f"tumbling_{uuid.uuid4().hex}"
+    found = read(spark, sf, "events")
+    found.write.parquet(f"{shared}/{name}-events")  # a stream reads a folder
+    counts = streams.tumbling(streams.read_events(spark, f"{shared}/{name}-events", found.schema), "1 hour", "1 day", ["event_type"])
+    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
@@ -142,16 +144,18 @@ QUERIES = {f.__name__: f for f in _ALL}
 _TOP = f"""{_BM25}, k AS (SELECT corpus, doc_id, line_no, indicator, round(score, 6) AS score, row_number() OVER (PARTITION BY corpus, indicator ORDER BY round(score, 6) DESC, doc_id, line_no) AS r FROM s QUALIFY r <= 40),
 h AS (SELECT k.*, c.text FROM k JOIN c USING (corpus, doc_id, line_no))"""
 ORACLE_SQL = {
-    "statute_verbatim": """WITH l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS x, unnest(generate_series(0, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) - 1)) AS i FROM documents)
-SELECT (SELECT count(*) + count(*) FILTER (i % 3 = 0) FROM l) + (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS n, CAST(100 AS DOUBLE) AS verbatim, CAST(100 AS DOUBLE) AS "unique" """,
+    "statute_verbatim": """WITH l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS x, unnest(generate_series(0, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) - 1)) AS i FROM documents),
+d AS (SELECT doc_id, count(*) + count(*) FILTER (i % 3 = 0) + (doc_id % 7 = 0)::INTEGER AS clauses, count(*) + (doc_id % 7 = 0)::INTEGER AS heads,
+  sum(length(CAST(i + 1 AS VARCHAR)) + 2 + length(x) + CASE WHEN i % 3 = 0 THEN 14 ELSE 1 END) + CASE WHEN doc_id % 7 = 0 THEN 28 ELSE 0 END AS chars FROM l GROUP BY doc_id)
+SELECT CAST(sum(clauses) AS BIGINT) AS n, CAST(100 AS DOUBLE) AS verbatim, CAST(100 AS DOUBLE) AS "unique" FROM d WHERE chars / heads <= 12000""",
     "judged_lane": f"""{_TOP}, v AS (SELECT corpus, doc_id, line_no, max(score) AS best, any_value(text) AS text FROM h GROUP BY 1, 2, 3 HAVING length(any_value(text)) % 13 <> 0),
-i AS (SELECT v.*, n.indicator FROM v JOIN (VALUES ('I1', 3), ('I2', 4), ('I3', 5)) AS n(indicator, m) ON length(text) % m = 0)
-SELECT i.corpus, i.doc_id, CAST(i.line_no AS INTEGER) AS line_no, i.indicator, coalesce(k.score, best) AS score, round(greatest(0, least(1, tanh(coalesce(k.score, best) / 40))), 6) AS confidence
-FROM i LEFT JOIN k ON k.corpus = i.corpus AND k.doc_id = i.doc_id AND k.line_no = i.line_no AND k.indicator = i.indicator""",
+w AS (SELECT v.*, n.indicator FROM v JOIN (VALUES ('I1', 3), ('I2', 4), ('I3', 5)) AS n(indicator, m) ON length(text) % m = 0)
+SELECT w.corpus, w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, w.indicator, coalesce(k.score, best) AS score, round(greatest(0, least(1, tanh(coalesce(k.score, best) / 40))), 6) AS confidence
+FROM w LEFT JOIN k ON k.corpus = w.corpus AND k.doc_id = w.doc_id AND k.line_no = w.line_no AND k.indicator = w.indicator""",
     "ranking_lane": f"""{_TOP}, a AS (SELECT *, row_number() OVER (PARTITION BY corpus, indicator ORDER BY score DESC, doc_id, line_no) AS rank FROM h QUALIFY rank <= 3),
 g AS (SELECT *, greatest(0, least(1, tanh(score / 40))) AS norm FROM a WHERE greatest(0, least(1, tanh(score / 40))) >= CAST(0.01 AS DOUBLE)),
-p AS (SELECT *, first_value(norm) OVER (PARTITION BY corpus, indicator ORDER BY rank) AS best, row_number() OVER (PARTITION BY corpus, indicator ORDER BY rank) AS place FROM g)
-SELECT corpus, indicator, doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(rank AS INTEGER) AS rank, round(norm, 6) AS norm FROM p WHERE place = 1 OR norm >= CAST(0.6 AS DOUBLE) * best""",
+x AS (SELECT *, first_value(norm) OVER (PARTITION BY corpus, indicator ORDER BY rank) AS best, row_number() OVER (PARTITION BY corpus, indicator ORDER BY rank) AS place FROM g)
+SELECT corpus, indicator, doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(rank AS INTEGER) AS rank, round(norm, 6) AS norm FROM x WHERE place = 1 OR norm >= CAST(0.6 AS DOUBLE) * best""",
     "review_statuses": """SELECT CASE WHEN doc_id % 17 = 0 THEN 'NO_PRIMARY_SOURCE_FOUND' WHEN doc_id % 4 = 0 THEN 'LOW_OCR_CONFIDENCE' WHEN doc_id % 10 = 0 THEN 'X' WHEN doc_id % 6 = 0 THEN 'CONFLICT_REVIEW' ELSE 'VERIFIED' END AS review_status, count(*) AS n
 FROM documents GROUP BY 1 HAVING review_status <> 'X'""",
     "amendment_instructions": """WITH o AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey < 200)

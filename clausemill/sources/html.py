@@ -75,7 +75,7 @@ class _Page(HTMLParser):
                 up.holds_block = True
             self.blocks.append(node)
         self.open.append(node)
-        if tag == "a" and not self.dropped:
+        if tag == "a":  # links of furniture too: what is furniture is decided by address and label
             near = next((n for n in reversed(self.open[:-1]) if n.tag in CONTEXT), None)
             self.links.append((at.get("href") or "", node, near))
 
@@ -92,7 +92,8 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.whole.append(data)
-            for n in self.open:
+        for n in self.open:
+            if not self.dropped or n.tag == "a":
                 n.parts.append(data)
 
 

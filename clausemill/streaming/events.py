@@ -11,7 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, folder: str, schema, files_a_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+    """A stream of a folder's files; times without a zone are taken in the session's."""
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+    plain = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]
+    return found.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else found
 
 
 def tumbling(events: DataFrame, size: str, late: str, by: list[str], t: str = "ts") -> DataFrame:
