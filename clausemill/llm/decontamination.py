@@ -33,6 +33,7 @@ from .common import stage, table
 
 N = 3
 SIMILARITY = 0.8
+MATCH = 4
 SHORT = 8
 MAX_SEEDS = 400_000  # about 100 MB in a task
 RARE_SHARE = 0.001  # of all documents
@@ -62,8 +63,8 @@ def least_seeds(m: int, n: int = N, similarity: float = SIMILARITY) -> int:
 def align(item: tuple[str, ...], window: tuple[str, ...]) -> tuple[float, int, int]:
     """Smith-Waterman: similarity, and the aligned stretch of the window as [start, end).
 
-    Match 1, mismatch and gap -1; of the best local alignment, matches over the longer of the item
-    and the aligned stretch.
+    Match MATCH, mismatch and gap -1, so that a few words beyond a run of edits still belong to a copy; of
+    the best local alignment, matches over the longer of the item and the aligned stretch.
     """
     m = len(item)
     first = item[0]
@@ -80,7 +81,7 @@ def align(item: tuple[str, ...], window: tuple[str, ...]) -> tuple[float, int, i
             up = row[j]
             start = diagonal[2] if diagonal[0] > 0 else j - 1
             if a == b:
-                cell = (diagonal[0] + 1, diagonal[1] + 1, start)
+                cell = (diagonal[0] + MATCH, diagonal[1] + 1, start)
             else:
                 cell = (diagonal[0] - 1, diagonal[1], start)
             if up[0] - 1 > cell[0]:
