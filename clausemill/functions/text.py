@@ -117,7 +117,7 @@ def copies(words: Column, text: Column, n: int = 6) -> Column:
 
 
 # Words that show a sentence is about a score.
-SCORE_TALK = r"(?i)\b(score|scores|scored|scoring|confidence)\b"
+SCORE_TALK = r"(?i)\bscor(?:e|es|ed|ing)\b"
 
 
 def strip_score_talk(note: Column) -> Column:
@@ -168,11 +168,127 @@ def rendered_search(template: Column, query: Column) -> Column:
     return F.replace(template, F.lit("{query}"), F.replace(F.url_encode(query), F.lit("+"), F.lit("%20")))
 
 
-def fill_to_length(phrases: Column, most: int) -> Column:
-    """The leading phrases whose joined length stays within `most`."""
-    def step(s: Column, p: Column) -> Column:
-        fits = s["open"] & (F.length(s["text"]) + F.length(p) + F.when(s["text"] == "", 0).otherwise(2) <= most)
-        text = F.when(fits, F.when(s["text"] == "", p).otherwise(F.concat(s["text"], F.lit(", "), p))).otherwise(s["text"])
-        return F.struct(text.alias("text"), fits.alias("open"))
+# A rationale's length at most, and its wording.
+RATIONALE_MOST = 1000
 
-    return F.aggregate(phrases, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), step, lambda s: s["text"])
+
+def template_rationale(path: Column, indicator: Column, name: Column, phrases: Column, text: Column, most: int = RATIONALE_MOST) -> Column:
+    """Why a clause maps to an indicator, in a fixed wording, with the leading phrases of the indicator that it holds."""
+    base = F.concat(F.when(F.trim(F.coalesce(path, F.lit(""))) == "", "This provision").otherwise(path), F.lit(" maps to "), indicator, F.lit(" ("), name, F.lit(")."))
+    held = F.filter(phrases, lambda p: (p != "") & F.contains(F.lower(text), F.lower(p)))
+
+    def whole(b: Column) -> Column:
+        prefix = F.concat(b, F.lit(" Indicator concept(s) present: "))
+
+        def step(s: Column, p: Column) -> Column:
+            longer = F.when(s["said"] == "", F.concat(F.lit("'"), p, F.lit("'"))).otherwise(F.concat(s["said"], F.lit("; '"), p, F.lit("'")))
+            fits = s["open"] & (F.length(prefix) + F.length(longer) + 1 <= most)
+            return F.struct(F.when(fits, longer).otherwise(s["said"]).alias("said"), fits.alias("open"))
+
+        said = F.aggregate(held, F.struct(F.lit("").alias("said"), F.lit(True).alias("open")), step, lambda s: s["said"])
+        return F.when(F.length(b) >= most, F.substring(b, 1, most)).when(said == "", b).otherwise(F.concat(prefix, said, F.lit(".")))
+
+    return let(base, whole)
+
+
+def lenient_object(content: Column) -> Column:
+    """The JSON object in a model's answer, as text: the whole, a fenced one, or from the first brace; null if there is none."""
+    plain = F.trim(content)
+    fenced = F.regexp_extract(plain, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braced = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    tries = F.array(plain, fenced, braced)
+    objects = F.filter(tries, lambda t: F.coalesce(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.lit(False)))
+    return F.get(objects, 0)
+
+
+def printed_numbers(value: Column, text: Column) -> Column:
+    """Whether a value has numbers and all of them stand in the text."""
+    runs = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
+    return (F.size(runs) > 0) & F.forall(runs, lambda r: F.contains(text, r))
+
+
+def year_agrees(number: Column, title: Column) -> Column:
+    """False only where both carry a year and the years differ."""
+    own = F.regexp_extract(number, r"(?i)\b(?:Act|No\.?)\s*\d+\s+of\s+(\d{4})\b", 1)
+    named = F.regexp_extract(F.trim(title), r"\b(1[6-9]\d{2}|20\d{2})$", 1)
+    return (own == "") | (named == "") | (own == named)
+
+
+def principal_number(text: Column) -> Column:
+    """The number of the first entry of a printed legislative history; empty if there is none."""
+    return collapse(F.regexp_extract(text, r"(?is)LEGISLATIVE\s+HISTORY\b.{0,500}?(?:^|\n)\s*1\.\s*(Act\s+\d+\s+of\s+\d{4})\b", 1))
+
+
+# How portals and uploads disfigure a law's name.
+_SHELL = r"(?is)\s+Current version as at\b.*$"
+_EXTENSION = r"(?i)\.(?:pdf|docx?|html?|txt)\s*$"
+_UPLOAD = (
+    r"(?i)\s*\((?:\d+|final|ku|bi|dalam\s+talian[^)]*|reprint[^)]*|[\d.\s/]+)\)"
+    r"|\s*_(?:unlocked|online|final|ori|bi|ku)\b"
+    r"|\s*\b(?:ori|final|unlocked)\s*$"
+    r"|\s*\bas\s+at\s+\d{1,2}\s+\w+\s+\d{4}\s*$"
+    r"|\s*\b\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}\s*$"
+    r"|^\s*\d{1,2}\.\s+"
+    r"|^\s*\d{8}_"
+)
+_LAW_END = (
+    r"(?i)\b(?:act|regulations?|rules|order|code|ordinance|enactment|decree|bill|guidelines?|advisory|notice|standard)\b"
+    r"[\s,]*(?:\(?(?:19|20)\d{2}\)?)?\s*$"
+)
+_BARE_NUMBER = r"(?i)^act\s+[a-z]?\d+[a-z]?$"
+UPLOAD_ROUNDS = 5  # marks that are taken off one after the other
+
+
+def law_name(title: Column) -> Column:
+    return collapse(F.regexp_replace(F.coalesce(title, F.lit("")), _SHELL, ""))
+
+
+def is_file_name(name: Column) -> Column:
+    return name.rlike(_EXTENSION) | (name.rlike(_UPLOAD) & ~name.rlike(_LAW_END))
+
+
+def masthead_title(text: Column, lines: int = 24) -> Column:
+    """The title under a line that is an act's number, of one letter case, up to its year; empty if there is none."""
+    head = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != ""), 1, lines + 4)
+    at = F.array_position(F.transform(F.slice(head, 1, lines), lambda x: x.rlike(_BARE_NUMBER)), True)
+    after = F.when(at > 0, F.slice(head, (at + 1).cast("int"), F.lit(4))).otherwise(F.array().cast("array<string>"))
+    title = r"\b(?:ACT|ENACTMENT|ORDINANCE)\s+(?:19|20)\d{2}$"
+
+    def step(s: Column, x: Column) -> Column:
+        uniform = ((x == F.upper(x)) | (x == F.lower(x))) & (F.upper(x) != F.lower(x))
+        goes_on = s["open"] & uniform
+        joined = F.when(goes_on, F.trim(F.concat(s["said"], F.lit(" "), x))).otherwise(s["said"])
+        done = goes_on & joined.rlike("(?i)" + title)
+        return F.struct(joined.alias("said"), (goes_on & ~done).alias("open"), F.when(done, joined).otherwise(s["found"]).alias("found"))
+
+    start = F.struct(F.lit("").alias("said"), F.lit(True).alias("open"), F.lit("").alias("found"))
+    return F.initcap(F.lower(collapse(F.aggregate(after, start, step, lambda s: s["found"]))))
+
+
+def resolved_name(title: Column, text: Column) -> Column:
+    """A portal's title if it names a law; else the masthead's; else the title without its upload marks."""
+    name = law_name(title)
+    cleaned = F.regexp_replace(name, _EXTENSION, "")
+    for _ in range(UPLOAD_ROUNDS):
+        cleaned = F.btrim(F.regexp_replace(cleaned, _UPLOAD, ""), F.lit(" -_,."))
+    cleaned = F.btrim(collapse(cleaned), F.lit(" -_,."))
+    printed = masthead_title(text)
+    nameless = is_file_name(name) | name.rlike(_BARE_NUMBER)
+    return (
+        F.when(~nameless, name).when(printed != "", printed).when(name.rlike(_BARE_NUMBER), name).when(cleaned != "", cleaned).otherwise(name)
+    )
+
+
+CLAUSE_MOST = 1200
+
+
+def clause_prompt(catalogue: Column, path: Column, text: Column, most: int = CLAUSE_MOST) -> Column:
+    """The indicator catalogue, which all prompts share, then the clause, shortened."""
+    flat = F.replace(F.trim(text), F.lit("\n"), F.lit(" "))
+    short = F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit(" …"))).otherwise(flat)
+    return F.concat(F.lit("INDICATORS:\n"), catalogue, F.lit("\n\nCLAUSE ("), path, F.lit("):\n"), short)
+
+
+def fingerprint(system: Column, rendered: Column) -> Column:
+    """Changes with any word or order of a prompt."""
+    return F.sha2(F.concat(system, F.lit("\x02"), rendered).cast("binary"), 256)

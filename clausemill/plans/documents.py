@@ -290,7 +290,7 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM (SELECT DISTIN
     "context_window_slice": """WITH q AS (SELECT doc_id, text, string_split(text, ' ')[-1] AS quote FROM documents), p AS (SELECT *, strpos(text, quote) AS p FROM q)
 SELECT doc_id, md5(CASE WHEN length(quote) > 0 THEN substring(text, greatest(p - 30, 1), p - greatest(p - 30, 1) + length(quote) + 30) ELSE '' END) AS context FROM p""",
     "score_talk_redaction": r"""WITH c AS (SELECT conv_id, turn, substring(text, 1, 60) || CASE WHEN turn % 2 = 0 THEN '. The score is 0.9. It applies' ELSE '' END AS note FROM conversations)
-SELECT conv_id, turn, trim(array_to_string(list_filter(regexp_extract_all(note, '[^.!?]+[.!?]?'), lambda s: NOT regexp_matches(s, '(?i)\b(score|scores|scored|scoring|confidence)\b')), '')) AS note FROM c""",
+SELECT conv_id, turn, trim(array_to_string(list_filter(regexp_extract_all(note, '[^.!?]+[.!?]?'), lambda s: NOT regexp_matches(s, '(?i)\bscor(?:e|es|ed|ing)\b')), '')) AS note FROM c""",
     "notes_concat": "SELECT conv_id, turn, concat_ws(' | ', CASE WHEN turn = 0 THEN 'first' END, 'by ' || role) AS notes FROM conversations",
     "section_index_concat": "WITH w AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS whole FROM conversations GROUP BY 1) SELECT conv_id, CAST(length(whole) AS INTEGER) AS n_chars, substring(whole, 1, 130) AS heading FROM w",
     "segment_offsets": """WITH s AS (SELECT conv_id, turn AS seg_no, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM conversations)
