@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys, scoring
+from ..session import ship
 from . import retrieval, rules
 
 OCR_LEAST = 0.85
@@ -43,6 +44,7 @@ def validated(claims: DataFrame) -> DataFrame:
 
     A quote that is the span's very text needs no normalising, so Python sees the others only.
     """
+    ship(claims.sparkSession)
     exact = F.col("quote") == F.col("span_text")
     same, other = claims.where(exact), claims.where(~exact | exact.isNull())
     status = lambda ok: review_status(F.col("primary"), F.col("ocr_confidence"), ok, F.col("label"))
@@ -70,6 +72,7 @@ def judged(clauses: DataFrame, judge: Judge, stored: DataFrame | None, model: st
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "verdict": judge(b["text"].tolist())})
 
+    ship(clauses.sparkSession)
     new = asked.mapInPandas(run, "key string, verdict array<string>")
     known = new if stored is None else stored.select("key", "verdict").unionByName(new)
     return keyed.join(known, "key", "left").drop("key")

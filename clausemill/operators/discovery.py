@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import token_set_ratio
 from ..functions.text import link_tokens, years_conflict
+from ..session import ship
 
 KNOWN_LEAST, NEW_BELOW = 80.0, 55.0
 
@@ -22,6 +23,7 @@ def tagged(candidates: DataFrame, known: DataFrame, id_col: str = "id", title: s
     candidate that shares none is NEW. Of equal ratios the first known name wins; names whose years
     differ never match.
     """
+    ship(candidates.sparkSession)
     k = known.select("ord", "name", F.explode(link_tokens(F.col("name"))).alias("token"))
     c = candidates.select(id_col, title, F.explode(link_tokens(F.col(title))).alias("token"))
     met = c.join(k, "token").select(id_col, title, "ord", "name").distinct()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import keys
+from ..session import ship
 
 SCHEMA = "key string, method string, url string, status int, headers string, body string, recorded_at double"
 MISS = 504
@@ -60,6 +61,7 @@ class Recorded(DataSource):
 
 def fixtures(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A recording from rows at hand, for tests and small portals."""
+    ship(spark)
     spark.dataSource.register(Recorded)
     lines = [json.dumps({"key": request_key(r["method"], r["url"])} | r) for r in rows]
     return spark.read.format("recorded").option("lines", json.dumps(lines)).load()
@@ -105,6 +107,7 @@ def fetched(requests: DataFrame, ask: Callable[[], Ask], render: Callable[[], As
             got = [attempts(live, u, browser) for u in b["url"]]
             yield pd.DataFrame({"url": b["url"], "status": [a.status for a in got], "body": [a.body for a in got], "via": [a.via for a in got]})
 
+    ship(requests.sparkSession)
     dealt = urls.repartition(host_tasks, "host").sortWithinPartitions("host", "url")
     return dealt.mapInPandas(run, "url string, status int, body string, via string")
 

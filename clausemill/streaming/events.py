@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship
+
 
 def read_events(spark: SparkSession, folder: str, schema, files_a_batch: int = 1) -> DataFrame:
     """A stream of a folder's files; times without a zone are taken in the session's."""
@@ -56,6 +58,7 @@ def spaced(events: DataFrame, host: str, t: str, ident: str, interval: float) ->
         state.update((float(last),))
         yield pd.DataFrame({"host": [str(key[0])] * len(rows), "ident": rows["ident"].to_numpy(), "starts": starts})
 
+    ship(events.sparkSession)
     flat = events.select(F.col(host).cast("string").alias("host"), F.unix_timestamp(t).cast("double").alias("t"), F.col(ident).cast("long").alias("ident"))
     return flat.groupBy("host").applyInPandasWithState(
         step, "host string, ident long, starts double", "last double", "append", GroupStateTimeout.NoTimeout
@@ -76,6 +79,7 @@ def breaker(events: DataFrame, key: str, t: str, ident: str, failed, threshold:
         state.update((int(run), bool(is_open)))
         yield pd.DataFrame({"k": [str(k[0])] * len(rows), "ident": rows["ident"].to_numpy(), "run": [r for r, _ in out], "open": [o for _, o in out]})
 
+    ship(events.sparkSession)
     flat = events.select(F.col(key).cast("string").alias("k"), F.col(t).alias("t"), F.col(ident).cast("long").alias("ident"), failed.alias("failed"))
     return flat.groupBy("k").applyInPandasWithState(
         step, "k string, ident long, run int, open boolean", "run int, open boolean", "append", GroupStateTimeout.NoTimeout
