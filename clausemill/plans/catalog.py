@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, lanes, relational, retrieval
+from . import documents, lanes, relational, retrieval, verbs
 
-MODULES = (retrieval, documents, relational, lanes)
+MODULES = (retrieval, documents, relational, lanes, verbs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

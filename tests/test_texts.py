@@ -83,14 +83,13 @@ def test_reading_order_keeps_columns():
     assert pages.reading_order([]) == []
 
 
-class Engine:
-    name = "fake+gpu"
-
-    def pages(self, body, languages):
-        return [(2, body.decode(), 0.9)]
+def test_blank_pages_are_filled(spark):
+    class Engine:
+        name = "fake+gpu"
 
+        def pages(self, body, languages):
+            return [(2, body.decode(), 0.9)]
 
-def test_blank_pages_are_filled(spark):
     p = spark.createDataFrame([("d", 1, "text"), ("d", 2, " "), ("e", 1, "whole")], "document_id string, page_number int, text string")
     b = spark.createDataFrame([("d", bytearray(b"seen")), ("e", bytearray(b"never"))], "document_id string, body binary")
     got = pages.filled(p, b, Engine, ["en"]).orderBy("document_id", "page_number").collect()
