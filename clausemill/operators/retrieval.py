@@ -15,19 +15,32 @@ from ..functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def line_clauses(docs: DataFrame, corpus: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines with a character other than white space, as clauses with offsets into the text."""
-    lines = docs.select(F.col(corpus).alias("corpus"), F.col(doc).alias("doc_id"), F.split(text, "\n").alias("lines"))
-    ends = F.transform("lines", lambda x: F.length(x) + 1)
-    placed = F.aggregate(
-        F.zip_with("lines", ends, lambda a, b: F.struct(a.alias("line"), b.alias("n"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,start:int>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["n"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct(x["line"].alias("line"), s["at"].alias("start")))).alias("out"),
-        ),
+BLOCK = 256  # lines that are summed together
+
+
+def _before(lengths: Column) -> Column:
+    """The sum of all before, for each of a short array."""
+    return F.aggregate(
+        lengths,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
         lambda s: s["out"],
     )
+
+
+def line_starts(lines: Column) -> Column:
+    """Where each line begins in the text; sums in a block, then of blocks, as appending to one array of all lines would copy it for each."""
+    lengths = F.transform(lines, lambda x: F.length(x) + 1)
+    last = F.floor((F.size(lines) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+    return F.flatten(F.zip_with(blocks, _before(sums), lambda b, at: F.transform(_before(b), lambda x: x + at)))
+
+
+def line_clauses(docs: DataFrame, corpus: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Lines with a character other than a space, as clauses with offsets into the text."""
+    lines = docs.select(F.col(corpus).alias("corpus"), F.col(doc).alias("doc_id"), F.split(text, "\n").alias("lines"))
+    placed = F.zip_with("lines", line_starts(F.col("lines")), lambda x, at: F.struct(x.alias("line"), at.alias("start")))
     out = lines.select("corpus", "doc_id", F.posexplode(placed).alias("line_no", "p"))
     out = out.where(F.trim(F.col("p.line")) != "")
     return out.select(

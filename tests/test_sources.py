@@ -117,3 +117,12 @@ def test_catalogue_and_resume(spark, tmp_path):
 
 def test_csv_has_a_mark(spark):
     assert sinks.csv_with_bom(spark.createDataFrame([("x", None)], "a string, b string")) == b"\xef\xbb\xbfa,b\r\nx,\r\n"
+
+
+def test_line_starts_across_blocks(spark):
+    from clausemill.operators.retrieval import line_clauses
+
+    text = "\n".join("x" * (i % 7) for i in range(1000))
+    got = line_clauses(spark.createDataFrame([("c", 1, text), ("c", 2, ""), ("c", 3, None)], "source string, doc_id long, text string"), "source").collect()
+    assert len(got) == sum(i % 7 > 0 for i in range(1000))
+    assert all(text[r.char_start : r.char_end] == r.text for r in got)
