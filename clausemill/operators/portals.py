@@ -74,3 +74,38 @@ def retry_queue(answers: DataFrame) -> DataFrame:
 def guidance(links: DataFrame, wanted: Column) -> DataFrame:
     """Regulators' documents among links (href, anchor_text): each address once, with its longest title."""
     return links.where(wanted).groupBy("href").agg(F.max_by("anchor_text", F.struct(F.length("anchor_text"), -F.col("ord"))).alias("title"))
+
+
+def strategy_for(portals: DataFrame, strategies: DataFrame, host: str = "host") -> DataFrame:
+    """The first strategy (needle, ord, strategy) whose needle a portal's host contains; null for none.
+
+    Strategies are a short list that a build ships with.
+    """
+    met = portals.join(F.broadcast(strategies), F.contains(F.lower(host), F.lower("needle")), "left")
+    first = F.min_by("strategy", F.when(F.col("needle").isNotNull(), F.col("ord")))
+    return met.groupBy(*portals.columns).agg(first.alias("strategy"))
+
+
+def worksheet(lines: DataFrame, sheet: str = "sheet", order: str = "ord", line: str = "line") -> DataFrame:
+    """Cells (sheet, instrument, indicator, verdict, note) of reviewers' sheets.
+
+    A heading names an instrument, another an indicator of it; verdicts and notes below belong to the last
+    indicator; DROP-ALL drops all of an instrument. What a line belongs to is carried forward in order.
+    """
+    so_far = Window.partitionBy(sheet).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    text = F.col(line)
+    instrument = F.when(text.rlike(r"^##\s+\S"), F.trim(F.regexp_extract(text, r"^##\s+(.*)$", 1)))
+    indicator = F.when(text.rlike(r"^\s*###\s*P[0-9]+-I[0-9]+"), F.regexp_extract(text, r"(P[0-9]+-I[0-9]+)", 1))
+    marked = lines.withColumn("instrument", F.last(instrument, ignorenulls=True).over(so_far)).withColumn("_new", instrument.isNotNull()).withColumn("_ind", indicator)
+    within = Window.partitionBy(sheet, "instrument").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    held = marked.withColumn("indicator", F.last("_ind", ignorenulls=True).over(within)).where("instrument is not null")
+    said = F.upper(F.regexp_extract(text, r"(?i)VERDICT\s*[:=]\s*(KEEP|DROP)\b(?!\s*/)", 1))
+    rows = held.withColumn("_all", F.contains(text, F.lit("DROP-ALL"))).withColumn("_said", F.when(said != "", said)).withColumn(
+        "_note", F.when(text.rlike(r"(?i)NOTE\s*:\s*\S"), F.trim(F.regexp_extract(text, r"(?i)NOTE\s*:\s*(.*)$", 1)))
+    )
+    dropped = rows.groupBy(sheet, "instrument").agg(F.bool_or("_all").alias("_drop"))
+    cells = rows.where("indicator is not null").groupBy(sheet, "instrument", "indicator").agg(
+        F.min(order).alias(order), F.max_by("_said", F.when(F.col("_said").isNotNull(), F.col(order))).alias("verdict"), F.max_by("_note", F.when(F.col("_note").isNotNull(), F.col(order))).alias("note")
+    )
+    out = cells.join(dropped, [sheet, "instrument"])
+    return out.select(sheet, "instrument", "indicator", order, F.when(F.col("_drop"), "DROP-ALL").otherwise(F.coalesce("verdict", F.lit(""))).alias("verdict"), F.coalesce("note", F.lit("")).alias("note"))

@@ -134,3 +134,37 @@ def test_trackers(spark):
     trackers.source("bad")(lambda s, o: 1 / 0)
     signals, failed = trackers.gathered(spark, ["ok", "bad"], {})
     assert signals.count() == 2 and list(failed) == ["bad"] and trackers.seeds(signals).count() == 2
+
+
+def test_settings(tmp_path, monkeypatch):
+    from clausemill import settings
+
+    f = tmp_path / ".env"
+    f.write_text("# no\nexport A='x y'\nB=2 # two\n9C=no\nD\n")
+    assert settings.env_file(f) == {"A": "x y", "B": "2"} and settings.env_file(tmp_path / "none") == {}
+    monkeypatch.setenv("B", "env")
+    assert settings.setting("B", [f]) == "env" and settings.setting("A", [f]) == "x y" and settings.setting("Z", [f], "d") == "d"
+    assert [settings.economy(x) for x in ("SG", " Singapore ", "Singapre", "malaysa")] == ["sg", "sg", "sg", "my"]
+    with pytest.raises(ValueError, match="unknown economy"):
+        settings.economy("Atlantis")
+
+
+def test_worksheets_and_strategies(spark):
+    from clausemill.operators import portals
+
+    text = ["rubric", "## Act A", "### P6-I1", "VERDICT: KEEP", "NOTE: fine", "### P6-I2", "VERDICT: KEEP / DROP", "## Act B", "DROP-ALL", "### P6-I1", "verdict = drop"]
+    lines = spark.createDataFrame([("s", i, x) for i, x in enumerate(text)], "sheet string, ord int, line string")
+    got = portals.worksheet(lines).orderBy("ord").collect()
+    assert [(r.instrument, r.indicator, r.verdict, r.note) for r in got] == [("Act A", "P6-I1", "KEEP", "fine"), ("Act A", "P6-I2", "", ""), ("Act B", "P6-I1", "DROP-ALL", "")]
+    hosts = spark.createDataFrame([("www.law.gov.sg",), ("x.org",)], "host string")
+    known = spark.createDataFrame([("gov.sg", 0, "a"), ("law", 1, "b")], "needle string, ord int, strategy string")
+    assert {r.host: r.strategy for r in portals.strategy_for(hosts, known).collect()} == {"www.law.gov.sg": "a", "x.org": None}
+
+
+def test_console(spark):
+    from clausemill.sources import console
+
+    c = spark.createDataFrame([("SG", "Data <Act>", "S 1", "P6-I1", "q & a", "why", "javascript:x", "VERIFIED", "CURRENT", "NEW")], "economy string, law_name string, article string, indicator_id string, quote string, rationale string, source_url string, review_status string, currency_status string, discovery_tag string")
+    page = console.page(c, "T")
+    assert "Data &lt;Act&gt;" in page and "q &amp; a" in page and "javascript:x" not in page and 'data-economy="SG"' in page
+    assert '"citations": 1' in console.report(c, {"at": "now"})
