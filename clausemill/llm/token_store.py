@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from .tokens import default_path, encoder
 
 END_ID = 1
 WINDOW = 16  # ids that a cut depends on
-MEAN, LEAST, MOST = 512, 128, 4096  # ids in a chunk
+MEAN, LEAST, MOST = 512, 128, 4096  # ids in a chunk; MEAN is a power of two
 REMEMBERED = 200_000  # digests that a task knows it has emitted
 LEAF = 1024  # nodes under a node of the manifest
 
@@ -75,7 +76,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     rolling = total.copy()
     rolling[WINDOW:] -= total[:-WINDOW]
     rolling *= np.uint64(0x94D049BB133111EB)
-    wanted = np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+    wanted = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
     ends, last = [], 0
     for end in wanted.tolist():
         while end - last > MOST:
@@ -111,33 +112,34 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, press, seen = encoder(tokenizer).ids, zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
-            rows, size = [], 0
+            columns, size = [[] for _ in _ENCODED], 0
+            kind, key, payload, doc, n_tokens, digests, all_counts, all_after = (c.append for c in columns)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = ids_of(text.as_py() or "") + end
                 ids = np.frombuffer(data, dtype="<u4")
-                ends = cuts(ids)
                 names, counts, after, last = [], [], [], 0
-                for e in ends:
+                for e in cuts(ids):
                     name = digest(data[4 * last : 4 * e])
                     if name not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(name)
-                        payload = to_payload(ids[last:e], press)
-                        size += len(payload)
-                        rows.append({"kind": "chunk", "key": name, "payload": payload})
+                        pressed = to_payload(ids[last:e], press)
+                        size += len(pressed)
+                        kind("chunk"), key(name), payload(pressed)
+                        doc(None), n_tokens(None), digests(None), all_counts(None), all_after(None)
                     names.append(name)
                     counts.append(e - last)
                     after.append(len(ids) - e)
                     last = e
-                rows.append(
-                    {"kind": "recipe", "key": digest(b"".join(names)), "doc_id": doc_id, "n_tokens": len(ids),
-                     "digests": names, "counts": counts, "after": after}
-                )
-                if size > 4_000_000 or len(rows) > 4000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ENCODED)
-                    rows, size = [], 0
-            yield pa.RecordBatch.from_pylist(rows, schema=_ENCODED)
+                kind("recipe"), key(digest(b"".join(names))), payload(None)
+                doc(doc_id), n_tokens(len(ids)), digests(names), all_counts(counts), all_after(after)
+                if size > 4_000_000 or len(columns[0]) > 4000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENCODED)], schema=_ENCODED)
+                    for c in columns:
+                        c.clear()
+                    size = 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENCODED)], schema=_ENCODED)
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED_SQL)
@@ -145,14 +147,15 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by kind and key: all recipes, and the first of equal chunks."""
-    last = None
+    last: pa.Scalar | None = None
     for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keep.append(kind == "recipe" or key != last)
-            if kind == "chunk":
-                last = key
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        if not batch.num_rows:
+            continue
+        key = batch.column(1)
+        before = pa.concat_arrays([pa.array([None if last is None else last.as_py()], key.type), key.slice(0, len(key) - 1)])
+        new = pc.fill_null(pc.not_equal(key, before), True)
+        last = key[len(key) - 1]
+        yield batch.filter(pc.or_(new, pc.equal(batch.column(0), "recipe")))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -291,7 +294,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "documents"), path)
     ordered = recipes(spark, path)
     manifest(ordered).write.parquet(f"{path}-manifest")
-    if root(spark.read.parquet(f"{path}-manifest")) != root(manifest(ordered)):
+    vouched = root(spark.read.parquet(f"{path}-manifest"))
+    if vouched != root(manifest(ordered)):
         raise ValueError("the recipes don't give the manifest's root")
     return read_back(ordered, chunk_sums(spark, path))
 

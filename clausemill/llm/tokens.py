@@ -15,7 +15,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-MEMORY = 400_000
+MEMORY = 800_000  # about 170 MB
 
 # Texts of these characters alone are cut into runs of letters and runs of others: their lower case is
 # the same in any context, nothing in them composes, and no contraction or special token is among them.
