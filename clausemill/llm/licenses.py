@@ -151,7 +151,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", match: float
     ancestors = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, 1, k), "/").alias("from_dir")))
     dirs = own.select("_dir").where("_dir is not null").distinct().select("_dir", F.explode(ancestors).alias("a")).select("_dir", "a.depth", "a.from_dir")
     nearest = dirs.join(declared, "from_dir").groupBy("_dir").agg(F.max(F.struct("depth", "from_dir", "given")).alias("near"))
-    out = own.join(nearest, "_dir", "left")
+    # written, so that the join deals both sides anew and adaptive execution can split a large directory
+    out = own.join(stage(nearest, "license-directories"), "_dir", "left")
     has_own = F.col("own").isNotNull()
     return out.select(
         *[F.col(f"_file.`{c}`").alias(c) for c in keep],
