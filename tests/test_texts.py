@@ -168,3 +168,9 @@ def test_console(spark):
     page = console.page(c, "T")
     assert "Data &lt;Act&gt;" in page and "q &amp; a" in page and "javascript:x" not in page and 'data-economy="SG"' in page
     assert '"citations": 1' in console.report(c, {"at": "now"})
+
+
+def test_command_line(capsys):
+    from clausemill.__main__ import main
+
+    assert main(["list"]) == 0 and "bm25_topk_clauses" in capsys.readouterr().out
