@@ -61,10 +61,14 @@ def best_wins(df: DataFrame, by: str, score: str, order: str, keep: list[str], f
 
 
 def known_first(df: DataFrame, known: Column, by: list[str], order: list[Column], budget: int) -> DataFrame:
-    """All known rows, and the best `budget` of the others."""
-    w = Window.partitionBy(*by, "_known").orderBy(*order)
-    placed = df.withColumn("_known", known).withColumn("_n", F.row_number().over(w))
-    return placed.where(F.col("_known") | (F.col("_n") <= budget)).drop("_known", "_n")
+    """All known rows, and the best `budget` of the others.
+
+    Only the others are ranked, and a bound on their rank lets each task keep its best before the shuffle.
+    """
+    marked = df.withColumn("_known", F.coalesce(known, F.lit(False)))
+    w = Window.partitionBy(*by).orderBy(*order)
+    others = marked.where(~F.col("_known")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget).drop("_n")
+    return marked.where("_known").unionByName(others).drop("_known")
 
 
 def missing_from(df: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:

@@ -27,3 +27,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<item_id:bigint,text:string>" in plan
     plan = catalog.queries()["gap_anti_join"](spark, SF)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(l_quantity,50.0)" in plan
+
+
+def test_ranks_are_bounded_before_the_shuffle(spark):
+    plan = catalog.queries()["known_first_budget"](spark, SF)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan.split("Physical Plan")[-1]
