@@ -57,16 +57,24 @@ def bm25(clauses: DataFrame, queries: DataFrame, clause_keys: list[str], text: s
     """
     words = clauses.select("corpus", *clause_keys, tokens(F.col(text)).alias("ts"))
     sizes = words.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    # a clause is one row, so its distinct terms are counted without moving it: the shuffle has a row a term
+    df = (
+        words.select("corpus", F.explode(F.array_distinct("ts")).alias("term"))
+        .groupBy("corpus", "term")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .join(sizes, "corpus")
+    )
+    asked = queries.select("indicator", F.explode(tokens(F.col("query"))).alias("term")).groupBy("indicator", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = asked.select("term").distinct()
     per_clause = (
         words.select("corpus", *clause_keys, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        .join(wanted, "term", "left_semi")
         .groupBy("corpus", *clause_keys, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = per_clause.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, "corpus")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("corpus").agg(F.avg("raw").alias("mean_idf"))
-    asked = queries.select("indicator", F.explode(tokens(F.col("query"))).alias("term")).groupBy("indicator", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").join(mean, "corpus").select(
+    idf = raw.join(wanted, "term", "left_semi").join(mean, "corpus").select(
         "corpus", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
     )
     tf = F.col("tf").cast("double")
