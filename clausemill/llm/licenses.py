@@ -16,6 +16,7 @@ gives an empty result; only the columns named are read.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -84,36 +85,31 @@ def weights(n_files: int, n_with: dict[str, int]) -> dict[str, float]:
 
 
 def _score(line: Column, idf: dict[str, float], n_files: int) -> Column:
-    """The best (cosine, licence) of a passage, the alphabetically first of equals."""
+    """The best (cosine, license) of a passage, the alphabetically first of equals.
+
+    Templates and weights enter as two constants of the plan.
+    """
     unknown = math.log(n_files + 1) + 1  # a term of no template weighs as one that no file holds
+    rows = []
+    for name, counts in sorted(templates(), key=lambda x: x[0]):
+        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
+        rows.append({"name": name, "terms": [{"term": t, "w": n * idf[t] ** 2 / length} for t, n in sorted(counts.items())]})
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,terms:array<struct<term:string,w:double>>>>")
+    weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
     found = F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
-    weight = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
     def best(ts: Column) -> Column:
-        distinct = F.array_distinct(ts)
         tf = lambda t: F.size(F.filter(ts, lambda x: x == t)).cast("double")
-        norm = F.sqrt(
-            F.aggregate(
-                F.transform(distinct, lambda t: F.pow(tf(t) * F.coalesce(F.try_element_at(weight, t), F.lit(unknown)), F.lit(2.0))),
-                F.lit(0.0),
-                lambda a, x: a + x,
-            )
-        )
-        scored = []
-        for name, counts in templates():
-            length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
-            dot = sum((tf(F.lit(t)) * F.lit(n * idf[t] ** 2 / length) for t, n in sorted(counts.items())), F.lit(0.0))
-            scored.append((name, dot))
-        by_name: dict[str, list[Column]] = {}
-        for name, dot in scored:
-            by_name.setdefault(name, []).append(dot)
-        tops = F.array(*[F.struct((F.greatest(*d) if len(d) > 1 else d[0]).alias("dot"), F.lit(n).alias("name")) for n, d in sorted(by_name.items())])
+        own = F.transform(F.array_distinct(ts), lambda t: F.pow(tf(t) * F.coalesce(F.try_element_at(weight, t), F.lit(unknown)), F.lit(2.0)))
+        dots = F.transform(known, lambda k: F.struct(total(F.transform(k["terms"], lambda e: tf(e["term"]) * e["w"])).alias("dot"), k["name"].alias("name")))
         top = F.reduce(
-            tops,
+            dots,
             F.struct(F.lit(-1.0).alias("dot"), F.lit("").alias("name")),
-            lambda a, x: F.when(x["dot"] > a["dot"], x).otherwise(a),
+            lambda a, x: F.when(x["dot"] > a["dot"], F.struct(x["dot"].alias("dot"), x["name"].alias("name"))).otherwise(a),
         )
-        return F.transform(F.array(top), lambda x: F.struct((x["dot"] / F.greatest(norm, F.lit(1e-9))).alias("cosine"), x["name"].alias("license")))
+        norm = F.greatest(F.sqrt(total(own)), F.lit(1e-9))
+        return F.transform(F.array(top), lambda x: F.struct((x["dot"] / norm).alias("cosine"), x["name"].alias("license")))
 
     return F.element_at(F.flatten(F.transform(F.array(found), best)), 1)
 

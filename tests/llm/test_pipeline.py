@@ -26,3 +26,17 @@ def test_stages(spark, tmp_path):
     assert again.count() == counts[5]
     pack = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert pack(again) == pack(docs)
+
+
+def test_native_operators_import_no_python_functions():
+    """Of the marked operators: nothing that runs Python on executors."""
+    import ast
+    from pathlib import Path
+
+    from clausemill.llm import chat_format, licenses, quality_rules, sharding
+
+    banned = {"pandas_udf", "udf", "mapInArrow", "mapInPandas", "applyInPandas", "rdd", "arrow_udf", "udtf"}
+    for module in (quality_rules, licenses, chat_format, sharding):
+        tree = ast.parse(Path(module.__file__).read_text())
+        used = {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)} | {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
+        assert not used & banned
