@@ -150,7 +150,8 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
     so_far = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("length", "_bucket", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("_before"))
     in_bucket = Window.partitionBy("length", "_bucket").orderBy(*key)
-    ranked = placed.withColumn("_in", F.row_number().over(in_bucket) - 1).join(starts, ["length", "_bucket"])
+    # the rows lie by length and bucket already: a merge moves the starts to them, and nothing is broadcast
+    ranked = placed.withColumn("_in", F.row_number().over(in_bucket) - 1).join(starts.hint("merge"), ["length", "_bucket"])
     ranked = ranked.withColumn("_place", place("length", F.col("_in") + F.col("_before")))
     return ranked.select(*items.columns, "_place.sequence_id", "_place.offset")
 
