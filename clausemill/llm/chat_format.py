@@ -77,7 +77,7 @@ def pair_neighbours(conversations: DataFrame) -> DataFrame:
 
     The first of two is `chosen`, with the smaller conv_id where the texts are equal.
     """
-    placed = numbered(conversations.withColumn("_key", _render(F.col("turns"))), ["_key", "conv_id"], "chat-pairs")
+    placed = numbered(conversations.withColumn("_key", _render(F.col("turns"))), ["_key", "conv_id"], "chat-pairs", drop=("_key",))
     sided = placed.select(F.floor(F.col("row_no") / 2).cast("long").alias("pair_id"), (F.col("row_no") % 2).alias("side"), F.struct("conv_id", "turns").alias("c"))
     pairs = sided.groupBy("pair_id").agg(
         F.max_by(F.when(F.col("side") == 0, F.col("c")), F.when(F.col("side") == 0, 1)).alias("a"),

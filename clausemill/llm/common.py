@@ -47,12 +47,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def numbered(df: DataFrame, order: list, name: str, extra: dict[str, Column] | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str, extra: dict[str, Column] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add `row_no`, gapless from 0 in `order`, and for each of `extra` its sum over all rows before.
 
     Range partitions, a number within each, and the sums of the partitions before: one shuffle of
     the rows; what is broadcast has a row per partition. Ties in `order` are numbered in some order
-    that is fixed once the rows are staged. `df` should be narrow.
+    that is fixed once the rows are staged. `df` should be narrow; what `drop` names only sorts.
     """
     extra = extra or {}
     placed = (
@@ -61,7 +61,7 @@ def numbered(df: DataFrame, order: list, name: str, extra: dict[str, Column] | N
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_in_part", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    placed = stage(placed, name)
+    placed = stage(placed.drop(*drop), name)
     totals = placed.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_t_{k}") for k, c in extra.items()]
     )
