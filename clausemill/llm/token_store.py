@@ -69,14 +69,14 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    total = np.cumsum(mixed, dtype=np.uint64)
+    mixed = ids * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA6B)
+    total = np.cumsum(mixed, dtype=np.uint32)
     rolling = total.copy()
     rolling[WINDOW:] -= total[:-WINDOW]
-    rolling *= np.uint64(0x94D049BB133111EB)
-    wanted = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
+    rolling *= np.uint32(0xC2B2AE35)
+    wanted = np.flatnonzero((rolling >> np.uint32(16)) & np.uint32(MEAN - 1) == 0) + 1
     ends, last = [], 0
     for end in wanted.tolist():
         while end - last > MOST:
@@ -95,11 +95,6 @@ def digest(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
 
-def to_payload(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    width = 2 if int(ids.max()) < 65536 else 4
-    return bytes([width]) + press.compress(ids.astype("<u2" if width == 2 else "<u4").tobytes())
-
-
 def from_payload(payload: bytes, unpress: zstandard.ZstdDecompressor) -> bytes:
     raw = np.frombuffer(unpress.decompress(payload[1:]), dtype="<u2" if payload[0] == 2 else "<u4")
     return raw.astype("<u4").tobytes()
@@ -110,13 +105,15 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, press, seen = encoder(tokenizer).ids, zstandard.ZstdCompressor(level=3), set()
+        ids_of, press, seen = encoder(tokenizer).ids, zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
             columns, size = [[] for _ in _ENCODED], 0
             kind, key, payload, doc, n_tokens, digests, all_counts, all_after = (c.append for c in columns)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = ids_of(text.as_py() or "") + end
                 ids = np.frombuffer(data, dtype="<u4")
+                width = 2 if int(ids.max()) < 65536 else 4
+                narrow = ids.astype("<u2").tobytes() if width == 2 else data
                 names, counts, after, last = [], [], [], 0
                 for e in cuts(ids):
                     name = digest(data[4 * last : 4 * e])
@@ -124,7 +121,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(name)
-                        pressed = to_payload(ids[last:e], press)
+                        pressed = bytes([width]) + press.compress(narrow[width * last : width * e])
                         size += len(pressed)
                         kind("chunk"), key(name), payload(pressed)
                         doc(None), n_tokens(None), digests(None), all_counts(None), all_after(None)
@@ -162,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Write the store's chunks and unordered recipes: one pass over the texts, one shuffle."""
     rows = encoded(docs, tokenizer or default_path(), end_id)
     dealt = rows.repartition(F.xxhash64("kind", "key", F.coalesce(F.col("doc_id"), F.lit(-1)))).sortWithinPartitions("kind", "key")
-    dealt.mapInArrow(_once, _ENCODED_SQL).write.partitionBy("kind").parquet(path)
+    dealt.mapInArrow(_once, _ENCODED_SQL).write.partitionBy("kind").option("compression", "none").parquet(path)  # payloads are pressed
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
