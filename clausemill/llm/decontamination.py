@@ -6,8 +6,9 @@ edited keeps at least 0.4 m - 2 of its trigrams (each edit spoils three at most)
 document with fewer can't be one; three words, not five, because five would not survive such edits.
 Of what is left, the rarest seed in the corpus anchors the alignment: the window around it is
 aligned to the item, word by word, and hits outside the window anchor windows of their own. A pair
-counts if matches make up SIMILARITY of the longer of the item and its aligned stretch. Items of fewer
-than SHORT words can occur by chance and must hold a rare seed as well.
+counts if matches make up SIMILARITY of the longer of the item and its aligned stretch, however many
+documents hold it: rarity only orders the anchors. Items of a few words can occur by chance; a caller
+who wants to leave these out has `rarest_docs`.
 
 Seeds are kept by each task, in blocks of at most MAX_SEEDS: a benchmark beyond that takes one
 pass over the documents for each block. Windows that are alike are aligned once, so a passage in very
@@ -34,10 +35,7 @@ from .common import stage, table
 N = 3
 SIMILARITY = 0.8
 MATCH = 4
-SHORT = 8
 MAX_SEEDS = 400_000  # about 100 MB in a task
-RARE_SHARE = 0.001  # of all documents
-RARE_LEAST = 20  # documents that a seed may be in and still be rare, however few there are
 REMEMBERED = 5_000  # alignments that a task remembers
 
 _WORD = re.compile(r"\w+")
@@ -202,7 +200,7 @@ _MATCH_SCHEMA = pa.schema(
 )
 
 
-def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int, int], rare: int, similarity: float) -> DataFrame:
+def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int, int], similarity: float) -> DataFrame:
     shared = stretches.sparkSession.sparkContext.broadcast(n_docs)  # a number for each seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +213,6 @@ def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int,
                 reach = int(m / similarity) + N
                 hits = sorted((counts.get(s, 0), p) for p, s in zip(r["places"], r["seeds"]))
                 rarest = hits[0][0]
-                if m < SHORT and rarest > rare:
-                    continue
                 done: list[tuple[int, int]] = []
                 best = (0.0, 0, 0)
                 for _, place in hits:  # the rarest first
@@ -240,8 +236,6 @@ def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, end_word, rarest_docs), a row for each stretch of a document that copies an item."""
     spark = docs.sparkSession
-    total = docs.count()
-    rare = max(RARE_LEAST, int(RARE_SHARE * total))
     found = None
     block: list[tuple[int, tuple[str, ...]]] = []
     size = 0
@@ -250,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         ids, items = [i for i, _ in block], [w for _, w in block]
         hits = stage(_find(docs, items), "decontamination-hits")
         counts = hits.where("seed is not null").groupBy("seed").agg(F.sum("n_docs").alias("n")).collect()  # MAX_SEEDS at most
-        matched = _match(hits.where("item is not null"), items, {r["seed"]: r["n"] for r in counts}, rare, similarity)
+        matched = _match(hits.where("item is not null"), items, {r["seed"]: r["n"] for r in counts}, similarity)
         names = F.array(*[F.lit(i).cast("long") for i in ids])
         return matched.select(
             "doc_id", F.get(names, F.col("item")).alias("item_id"), "similarity", "start_word", "end_word", "rarest_docs"

@@ -75,6 +75,13 @@ def test_decontamination_edges(spark):
     assert decontamination.contaminated(df, b.limit(0)).count() == 0
 
 
+def test_short_item_that_many_documents_hold(spark):
+    b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    rows = [(d, f"so alpha beta gamma delta epsilon it is {d}", "x") for d in range(60)] + [(99, "alpha gamma beta", "x")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, SCHEMA), b).collect()
+    assert {r.doc_id for r in got} == set(range(60)) and {r.rarest_docs for r in got} == {60}
+
+
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "MAX_SEEDS", 30)
     b = spark.read.parquet(f"{SF}/benchmark.parquet")
