@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is the query set. Its word trigrams are seeds, looked up in every document in one pass, with
-the number of documents that hold each. A copy of an item of m words with at most a fifth of them
-edited keeps at least 0.4 m - 2 of its trigrams (each edit spoils three at most), so a stretch of a
-document with fewer can't be one; three words, not five, because five would not survive such edits.
+The benchmark is the query set. Its word pairs are seeds, looked up in every document in one pass, with
+the number of documents that hold each. In a copy of an item of m words up to a fifth of them are lost,
+and up to a quarter of those kept may be added between: a lost word spoils two pairs, an added one
+one, so at least 0.4 m - 1 are left and a stretch of a document with fewer can't be a copy. Pairs, not
+runs of three: words lost and words added, spread evenly, can leave no three in a row.
 Of what is left, the rarest seed in the corpus anchors the alignment: the window around it is
 aligned to the item, word by word, and hits outside the window anchor windows of their own. A pair
-counts if matches make up SIMILARITY of the longer of the item and its aligned stretch, however many
-documents hold it: rarity only orders the anchors. Items of a few words can occur by chance; a caller
+counts if matches make up SIMILARITY of the longer of the item and its aligned stretch, or of any
+part of that, or, where that falls short, of any stretch of the window. However many documents hold a
+passage, it counts: rarity only orders the anchors. Items of a few words can occur by chance; a caller
 who wants to leave these out has `rarest_docs`.
 
 Seeds are kept by each task, in blocks of at most MAX_SEEDS: a benchmark beyond that takes one
@@ -25,6 +27,7 @@ import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import stage, table
 
-N = 3
+N = 2
 SIMILARITY = 0.8
 MATCH = 4
 MAX_SEEDS = 400_000  # about 100 MB in a task
@@ -53,35 +56,84 @@ def _grams(words: list[str], n: int = N) -> list[tuple[str, ...]]:
 
 
 def least_seeds(m: int, n: int = N, similarity: float = SIMILARITY) -> int:
-    """Seeds that a copy of m words, similar enough, keeps at least."""
-    edits = int((1 - similarity) * m + 1e-9)
-    return max(1, max(m - n + 1, 1) - n * edits)
+    """Seeds that a copy of m words, similar enough, keeps at least.
+
+    A word lost (left out or replaced) spoils n of them, one added between two others n - 1.
+    """
+    worst = 0
+    for lost in range(m + 1):
+        kept = m - lost
+        if kept + 1e-9 < similarity * m:
+            break
+        worst = max(worst, n * lost + (n - 1) * (int(kept / similarity + 1e-9) - kept))
+    return max(1, max(m - n + 1, 1) - worst)
+
+
+def _best_part(places: list[int], m: int) -> tuple[float, int, int]:
+    """Of an alignment that matches words at `places` of a window: its most similar part, the first of equals."""
+    at = np.array(places)
+    best = (0.0, 0, 0)
+    for a in range(len(at)):
+        if best[0] >= (len(at) - a) / m:  # no part from here on can be better
+            break
+        ratios = np.arange(1, len(at) - a + 1) / np.maximum(m, at[a:] - at[a] + 1)
+        b = int(ratios.argmax())
+        if ratios[b] > best[0]:
+            best = (float(ratios[b]), int(at[a]), int(at[a + b]) + 1)
+    return best
+
+
+def _best_stretch(item: tuple[str, ...], window: tuple[str, ...]) -> tuple[float, int, int]:
+    """Of all stretches of a window the most similar, by their longest common subsequence with the item (in bits)."""
+    m = len(item)
+    bits: dict[str, int] = {}
+    for p, w in enumerate(item):
+        bits[w] = bits.get(w, 0) | 1 << p
+    all_ones = (1 << m) - 1
+    best = (0.0, 0, 0)
+    for start, first in enumerate(window):
+        if first not in bits:
+            continue
+        row = all_ones  # a zero for each word of the subsequence
+        for end in range(start, min(len(window), start + int(m / SIMILARITY + 1e-9) + 1)):
+            hit = bits.get(window[end])
+            if hit is None:
+                continue
+            u = row & hit
+            row = ((row + u) | (row - u)) & all_ones
+            ratio = (m - row.bit_count()) / max(m, end + 1 - start)
+            if ratio > best[0]:
+                best = (ratio, start, end + 1)
+    return best
 
 
 def align(item: tuple[str, ...], window: tuple[str, ...]) -> tuple[float, int, int]:
     """Smith-Waterman: similarity, and the aligned stretch of the window as [start, end).
 
     Match MATCH, mismatch and gap -1, so that a few words beyond a run of edits still belong to a copy; of
-    the best local alignment, matches over the longer of the item and the aligned stretch.
+    the best local alignment, matches over the longer of the item and the aligned stretch, at that part
+    where it is highest. An alignment that goes on to words beyond a copy, or takes another way, can fall
+    short of SIMILARITY where a stretch doesn't: then all stretches are compared.
     """
     m = len(item)
     first = item[0]
     for at, w in enumerate(window):  # a verbatim copy needs no table
         if w == first and window[at : at + m] == item:
             return 1.0, at, at + m
-    # a cell: score, matches, start; better score, then more matches
-    zero = (0, 0, 0)
-    row: list[tuple[int, int, int]] = [zero] * (len(window) + 1)
-    best, best_end = zero, 0
+    if not set(item).intersection(window):
+        return 0.0, 0, 0
+    # a cell: score, matches, and the places matched as (last, those before); better score, then more matches
+    zero: tuple = (0, 0, None)
+    row = [zero] * (len(window) + 1)
+    best = zero
     for a in item:
         diagonal, left, new = row[0], zero, [zero]
         for j, b in enumerate(window, 1):
             up = row[j]
-            start = diagonal[2] if diagonal[0] > 0 else j - 1
             if a == b:
-                cell = (diagonal[0] + MATCH, diagonal[1] + 1, start)
+                cell = (diagonal[0] + MATCH, diagonal[1] + 1, (j - 1, diagonal[2]))
             else:
-                cell = (diagonal[0] - 1, diagonal[1], start)
+                cell = (diagonal[0] - 1, diagonal[1], diagonal[2])
             if up[0] - 1 > cell[0]:
                 cell = (up[0] - 1, up[1], up[2])
             if left[0] - 1 > cell[0]:
@@ -89,50 +141,52 @@ def align(item: tuple[str, ...], window: tuple[str, ...]) -> tuple[float, int, i
             if cell[0] <= 0:
                 cell = zero
             elif cell[:2] > best[:2]:
-                best, best_end = cell, j
+                best = cell
             new.append(cell)
             diagonal, left = up, cell
         row = new
-    if not best[0]:
-        return 0.0, 0, 0
-    return best[1] / max(m, best_end - best[2]), best[2], best_end
+    places, chain = [], best[2]
+    while chain:
+        places.append(chain[0])
+        chain = chain[1]
+    found = _best_part(places[::-1], m)
+    return found if found[0] >= SIMILARITY else max(found, _best_stretch(item, window), key=lambda x: x[0])
+
+
+def _may_match(item: tuple[str, ...], window: tuple[str, ...], similarity: float) -> bool:
+    """Whether the window has enough of the item's words, in any order."""
+    return (Counter(item) & Counter(window)).total() >= similarity * len(item) - 1e-9
 
 
 class _Memory(OrderedDict):
-    def align(self, item_no: int, item: tuple[str, ...], window: tuple[str, ...]) -> tuple[float, int, int]:
+    def align(self, item_no: int, item: tuple[str, ...], window: tuple[str, ...], similarity: float) -> tuple[float, int, int]:
         key = (item_no, window)
         if key not in self:
             if len(self) >= REMEMBERED:
                 self.popitem(last=False)
-            self[key] = align(item, window)
+            self[key] = align(item, window) if _may_match(item, window, similarity) else (0.0, 0, 0)
         return self[key]
 
 
 def _stretches(hits: list[tuple[int, int, int]], m: int, least: int) -> list[list[tuple[int, int, int]]]:
-    """Groups of hits (place in document, in item, seed), no two in a group further apart than a copy allows, of `least` item places at least."""
-    reach = int(m / SIMILARITY) + N
-    groups: list[list[tuple[int, int, int]]] = []
-    for hit in hits:
-        if groups and hit[0] - groups[-1][-1][0] <= reach:
-            groups[-1].append(hit)
-        else:
-            groups.append([hit])
-    out = []
-    for g in groups:
-        # enough different places of the item within the length that a copy may have
-        inside: Counter[int] = Counter()
-        lo, enough = 0, False
-        for hi in range(len(g)):
-            inside[g[hi][1]] += 1
-            while g[hi][0] - g[lo][0] > reach:
-                inside[g[lo][1]] -= 1
-                if not inside[g[lo][1]]:
-                    del inside[g[lo][1]]
-                lo += 1
-            enough = enough or len(inside) >= least
-        if enough:
-            out.append(g)
-    return out
+    """Groups of hits (place in document, in item, seed): those that have `least` item places within the length that a copy may have."""
+    reach = int(m / SIMILARITY + 1e-9) + N
+    inside: Counter[int] = Counter()
+    spans: list[list[int]] = []  # of hits, [first, last]; those that overlap are one
+    lo = 0
+    for hi in range(len(hits)):
+        inside[hits[hi][1]] += 1
+        while hits[hi][0] - hits[lo][0] > reach:
+            inside[hits[lo][1]] -= 1
+            if not inside[hits[lo][1]]:
+                del inside[hits[lo][1]]
+            lo += 1
+        if len(inside) >= least:
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+    return [hits[a : b + 1] for a, b in spans]
 
 
 _FOUND = "item int, doc_id long, at long, words array<string>, places array<int>, seeds array<int>, seed int, n_docs long"
@@ -176,11 +230,11 @@ def _find(docs: DataFrame, items: list[tuple[str, ...]]) -> DataFrame:
                         by_item.setdefault(k, []).append((at, p, s))
                 for k, hits in by_item.items():
                     m = len(items[k])
-                    least = least_seeds(m)
+                    least, reach = least_seeds(m), int(m / SIMILARITY + 1e-9) + N
                     if len(hits) < least:
                         continue
                     for g in _stretches(hits, m, least):
-                        lo, hi = max(0, g[0][0] - m), g[-1][0] + m + N
+                        lo, hi = max(0, g[0][0] - reach), g[-1][0] + reach + N
                         out.append(
                             {"item": k, "doc_id": doc_id, "at": lo, "words": words[lo:hi],
                              "places": [h[0] - lo for h in g], "seeds": [h[2] for h in g]}
@@ -210,7 +264,7 @@ def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int,
             for r in batch.to_pylist():
                 item, words = items[r["item"]], r["words"]
                 m = len(item)
-                reach = int(m / similarity) + N
+                reach = int(m / similarity + 1e-9) + N
                 hits = sorted((counts.get(s, 0), p) for p, s in zip(r["places"], r["seeds"]))
                 rarest = hits[0][0]
                 done: list[tuple[int, int]] = []
@@ -219,7 +273,7 @@ def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int,
                     if any(lo <= place and place + N <= hi for lo, hi in done):
                         continue
                     lo, hi = max(0, place - reach), min(len(words), place + reach + N)
-                    score, start, end = memory.align(r["item"], item, tuple(words[lo:hi]))
+                    score, start, end = memory.align(r["item"], item, tuple(words[lo:hi]), similarity)
                     done.append((place, place + N) if score < similarity else (lo + start, lo + end))
                     if score > best[0]:
                         best = (score, r["at"] + lo + start, r["at"] + lo + end)

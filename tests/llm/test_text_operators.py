@@ -75,6 +75,40 @@ def test_decontamination_edges(spark):
     assert decontamination.contaminated(df, b.limit(0)).count() == 0
 
 
+def test_copies_with_words_lost_and_added_match_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(60)]
+    items, rows = [], []
+    for i, m in enumerate([4, 5, 6, 9, 9, 10, 14, 14, 19, 24, 29, 34]):
+        items.append((i, [f"i{i}w{k}" if k % 3 else rng.choice(vocab) for k in range(m)]))
+    for i, item in items:
+        m = len(item)
+        for lost in range(m // 5 + 1):
+            for added in range(m // 4 + 2):
+                for even in (False, True):  # spread, or anywhere
+                    n = lost + added
+                    at = [round((k + 1) * m / (n + 1)) for k in range(n)] if even else sorted(rng.choices(range(1, m), k=n))
+                    drop = set(rng.sample(at, lost)) if lost else set()
+                    copy: list[str] = []
+                    for p, w in enumerate(item):
+                        copy += ["new"] * (at.count(p) - (p in drop)) + ([] if p in drop else [w])
+                    rows.append((len(rows), " ".join(rng.choices(vocab, k=6) + copy + rng.choices(vocab, k=3) + item[-1:] + rng.choices(vocab, k=3)), "en"))
+    want = {
+        (d, i) for d, t, _ in rows for i, item in items if 5 * len(set(item) & set(t.split())) >= 4 * len(set(item)) - 10 and similarity(item, t.split()) >= 0.8
+    }
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(rows, SCHEMA), b).collect()
+    assert len(want) > 100 and {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_least_seeds_is_a_bound_that_copies_reach():
+    # nine words, one left out and two added: 0.8, and no three words in a row are left
+    item, copy = tuple("abcdefghi"), tuple("ab+cd+fghi")
+    assert similarity(item, copy) >= 0.8 and decontamination.align(item, copy)[0] >= 0.8
+    kept = set(zip(item, item[1:])) & set(zip(copy, copy[1:]))
+    assert 1 <= decontamination.least_seeds(9) <= len(kept)
+
+
 def test_short_item_that_many_documents_hold(spark):
     b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
     rows = [(d, f"so alpha beta gamma delta epsilon it is {d}", "x") for d in range(60)] + [(99, "alpha gamma beta", "x")]
