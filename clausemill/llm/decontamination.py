@@ -189,14 +189,15 @@ def _stretches(hits: list[tuple[int, int, int]], m: int, least: int) -> list[lis
     return [hits[a : b + 1] for a, b in spans]
 
 
-_FOUND = "item int, doc_id long, at long, words array<string>, places array<int>, seeds array<int>, seed int, n_docs long"
-_FOUND_SCHEMA = pa.schema(
-    [("item", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("words", pa.list_(pa.string())),
+_IDS = {"long": pa.int64(), "string": pa.string()}
+_FOUND = "item int, doc_id {}, at long, words array<string>, places array<int>, seeds array<int>, seed int, n_docs long"
+_FOUND_SCHEMA = lambda ids: pa.schema(
+    [("item", pa.int32()), ("doc_id", _IDS[ids]), ("at", pa.int64()), ("words", pa.list_(pa.string())),
      ("places", pa.list_(pa.int32())), ("seeds", pa.list_(pa.int32())), ("seed", pa.int32()), ("n_docs", pa.int64())]
 )
 
 
-def _find(docs: DataFrame, items: list[tuple[str, ...]]) -> DataFrame:
+def _find(docs: DataFrame, items: list[tuple[str, ...]], ids: str) -> DataFrame:
     """Stretches of documents that may be copies, and (seed, n_docs) counts of each task."""
     index: dict[tuple[str, ...], int] = {}
     where: list[list[tuple[int, int]]] = []
@@ -208,6 +209,7 @@ def _find(docs: DataFrame, items: list[tuple[str, ...]]) -> DataFrame:
             where[index[g]].append((k, p))
     sizes = sorted({len(g) for g in index})
     shared = docs.sparkSession.sparkContext.broadcast((index, where))  # MAX_SEEDS at most
+    schema = _FOUND_SCHEMA(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, where = shared.value
@@ -239,22 +241,23 @@ def _find(docs: DataFrame, items: list[tuple[str, ...]]) -> DataFrame:
                             {"item": k, "doc_id": doc_id, "at": lo, "words": words[lo:hi],
                              "places": [h[0] - lo for h in g], "seeds": [h[2] for h in g]}
                         )
-            yield pa.RecordBatch.from_pylist(out, schema=_FOUND_SCHEMA)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
         counts = [{"seed": s, "n_docs": n} for s, n in n_docs.items()]
-        yield pa.RecordBatch.from_pylist(counts, schema=_FOUND_SCHEMA)
+        yield pa.RecordBatch.from_pylist(counts, schema=schema)
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
+    return docs.select(F.col("doc_id").cast(ids).alias("doc_id"), "text").mapInArrow(run, _FOUND.format(ids))
 
 
-_MATCH = "item int, doc_id long, similarity double, start_word long, end_word long, rarest_docs long"
-_MATCH_SCHEMA = pa.schema(
-    [("item", pa.int32()), ("doc_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()),
+_MATCH = "item int, doc_id {}, similarity double, start_word long, end_word long, rarest_docs long"
+_MATCH_SCHEMA = lambda ids: pa.schema(
+    [("item", pa.int32()), ("doc_id", _IDS[ids]), ("similarity", pa.float64()), ("start_word", pa.int64()),
      ("end_word", pa.int64()), ("rarest_docs", pa.int64())]
 )
 
 
-def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int, int], similarity: float) -> DataFrame:
+def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int, int], similarity: float, ids: str) -> DataFrame:
+    schema = _MATCH_SCHEMA(ids)
     shared = stretches.sparkSession.sparkContext.broadcast(n_docs)  # a number for each seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +284,13 @@ def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int,
                         break
                 if best[0] >= similarity:
                     out.append({"item": r["item"], "doc_id": r["doc_id"], "similarity": best[0], "start_word": best[1], "end_word": best[2], "rarest_docs": rarest})
-            yield pa.RecordBatch.from_pylist(out, schema=_MATCH_SCHEMA)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     ship(stretches.sparkSession)
-    return stretches.select("item", "doc_id", "at", "words", "places", "seeds").mapInArrow(run, _MATCH)
+    return stretches.select("item", "doc_id", "at", "words", "places", "seeds").mapInArrow(run, _MATCH.format(ids))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, end_word, rarest_docs), a row for each stretch of a document that copies an item."""
     spark = docs.sparkSession
     found = None
@@ -296,9 +299,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     def flush() -> DataFrame:
         ids, items = [i for i, _ in block], [w for _, w in block]
-        hits = stage(_find(docs, items), "decontamination-hits")
+        hits = stage(_find(docs, items, id_type), "decontamination-hits")
         counts = hits.where("seed is not null").groupBy("seed").agg(F.sum("n_docs").alias("n")).collect()  # MAX_SEEDS at most
-        matched = _match(hits.where("item is not null"), items, {r["seed"]: r["n"] for r in counts}, similarity)
+        matched = _match(hits.where("item is not null"), items, {r["seed"]: r["n"] for r in counts}, similarity, id_type)
         names = F.array(*[F.lit(i).cast("long") for i in ids])
         return matched.select(
             "doc_id", F.get(names, F.col("item")).alias("item_id"), "similarity", "start_word", "end_word", "rarest_docs"
@@ -316,7 +319,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     if block:
         found = flush() if found is None else found.unionByName(flush())
     if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long, end_word long, rarest_docs long")
+        return spark.createDataFrame([], f"doc_id {id_type}, item_id long, similarity double, start_word long, end_word long, rarest_docs long")
     return found
 
 
@@ -325,9 +328,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that copy a benchmark item go."""
-    hit = stage(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "decontaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline: documents that copy a benchmark item go, told by their text: a doc_id may be null or repeated."""
+    key = F.sha2("text", 256)
+    texts = docs.select(key.alias("doc_id"), "text")
+    hit = contaminated(texts, table(spark, sf_dir, "benchmark"), id_type="string").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(stage(hit, "decontaminated"), "_key", "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination}

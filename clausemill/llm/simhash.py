@@ -11,7 +11,9 @@ into blocks whose pairs are tasks of their own, so no task holds an unbounded gr
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null doc_id gets
 a fingerprint and the component of its group, whose id is the smallest doc_id that isn't null; repeated
-rows come back each; an empty table gives an empty result; only the columns named are read.
+rows come back each; an empty table gives an empty result; only the columns named are read. The pipeline's
+stage keeps a row of each component, whether or not its doc_id is null or repeated: a row is told by its
+doc_id and its text.
 """
 
 from __future__ import annotations
@@ -53,17 +55,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp a signed long with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp), and `key` if given: fp a signed long with the fingerprint's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key"][: len(columns)])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+    more = [] if key is None else [key.alias("key")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(
+        run, "doc_id long, fp long" + ", key string" * len(more)
     )
 
 
@@ -156,16 +160,21 @@ def link_distinct(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     return _links(rows.repartition("key").sortWithinPartitions("key"), radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each row of `docs`."""
-    prints = stage(fingerprints(docs, id_col, text), "simhash-fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def _rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints: `first` aggregated over each, root that of its component."""
+    distinct = prints.groupBy("fp").agg(first.alias("first"))
     linked = components(link_distinct(distinct.select("fp")))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    rooted = stage(rooted, "simhash-classes")
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return stage(rooted, "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for each row of `docs`."""
+    prints = stage(fingerprints(docs, id_col, text), "simhash-fingerprints")
+    rooted = _rooted(prints, F.min("doc_id"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -177,10 +186,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of linked documents the one with the smallest doc_id stays."""
-    classes = near_duplicates(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline: of each group of linked documents one with the smallest doc_id stays, null being the largest."""
+    # a row's doc_id and text in one column that is never null: join and dropDuplicates share one shuffle of texts
+    key = F.concat_ws(" ", F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("t"), F.coalesce(F.sha2("text", 256), F.lit(""))))
+    prints = stage(fingerprints(docs, key=key), "simhash-fingerprints")
+    rooted = _rooted(prints, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.key").alias("_key"))
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 QUERIES = {"op8_simhash_near_dedup": op8_simhash_near_dedup}

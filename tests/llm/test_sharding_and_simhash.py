@@ -142,3 +142,10 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(2, "a b c d", "x"), (1, "a b c d", "x"), (1, "a b c d", "x"), (3, "other words here now", "x")], SCHEMA)
     kept = simhash.stage_near_dedup(spark, docs, SF)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_stage_keeps_rows_of_null_and_repeated_ids(spark):
+    rows = [(None, "alone without any id", "x"), (None, "a b c d", "x"), (None, "twins of null id here", "x"), (None, "twins of null id here", "x"), (1, "a b c d", "x"), (7, "first of seven is this", "x"), (7, "second one quite unlike it", "x"), (8, "second one quite unlike it", "x"), (9, None, "x")]
+    kept = simhash.stage_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    want = [(None, "alone without any id"), (None, "twins of null id here"), (1, "a b c d"), (7, "first of seven is this"), (7, "second one quite unlike it"), (9, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)

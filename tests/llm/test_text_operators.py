@@ -135,6 +135,13 @@ def test_contaminated_query_and_stage(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in got})
 
 
+def test_stage_tells_rows_of_null_and_repeated_ids_apart(spark):
+    bad = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    rows = [(None, f"so {bad} it is", "x"), (None, "clean words without an id", "x"), (5, bad, "x"), (5, "clean words of the same id", "x"), (6, None, "x"), (None, None, "x")]
+    kept = decontamination.stage_decontamination(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(((i, t) for i, t, _ in rows if t is None or "clean" in t), key=repr)
+
+
 # --- personal data
 
 PATTERNS = {
