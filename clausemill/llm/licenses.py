@@ -1,7 +1,9 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A line of a file that has a licence cue is a passage; each distinct passage is scored once against
-short templates of every licence (frames such as "released under the ... ") as sparse TF-IDF vectors. The
+A line of a file that has a licence cue is a passage, and so is each sentence of it that has one; each
+distinct passage is scored once against short templates of every licence (its titles and identifiers, bare
+titles as well as frames such as "released under the ... ") as sparse TF-IDF vectors. A title of the GNU
+family without a version means any version, as these licences say. The
 document frequencies behind the weights are of the template terms, over all files. A file's own
 licence is that of its best passage of at least MATCH. A licence file (named so, or whose first
 line with a word declares one) speaks for its directory; a directory takes the licence that most of its
@@ -28,6 +30,7 @@ from .common import WORD, stage, table
 MATCH = 0.8
 CUE = r"(?i)licen[sc]e|licensed|copyright|released under|spdx|public domain"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
+SENTENCE_END = r"(?<=[.;!?])\s+"
 TERM = r"[a-z0-9.+-]*[a-z0-9+]"
 
 #: Public licences by SPDX identifier, with the names that statements use.
@@ -46,8 +49,30 @@ LICENSES = {
     "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
     "MIT": ["MIT License"],
     "MPL-2.0": ["Mozilla Public License, version 2.0"],
+    "BSL-1.0": ["Boost Software License, version 1.0"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0"],
+    "GPL-1.0-or-later": ["GNU General Public License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
+    "LGPL-2.1-or-later": ["GNU Lesser General Public License"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License"],
 }
+#: Other titles, and the identifiers that say which later versions hold, where a licence has them.
+TITLES = {"AGPL-3.0": ["GNU Affero General Public License"], "Apache-2.0": ["Apache License"], "MPL-2.0": ["Mozilla Public License"]}
+VERSIONED = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
 FRAMES = ("Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "SPDX-License-Identifier: {}")
+TITLE_FRAMES = ("{}", "License: {}")
+
+
+def _statements() -> list[tuple[str, str]]:
+    """(license, statement) of every form in every frame; an identifier alone is no statement."""
+    out = []
+    for name, forms in LICENSES.items():
+        titles = [*forms, *TITLES.get(name, [])]
+        ids = [name, *(f"{name}-{v}" for v in ("only", "or-later") if name in VERSIONED)]
+        out += [(name, frame.format(t)) for t in titles for frame in (*FRAMES, *TITLE_FRAMES)]
+        out += [(name, frame.format(i)) for i in ids for frame in (*FRAMES, TITLE_FRAMES[1], "{} License")]
+    return list(dict.fromkeys(out))
 
 
 def terms(text: str) -> list[str]:
@@ -56,13 +81,11 @@ def terms(text: str) -> list[str]:
 
 def templates() -> list[tuple[str, dict[str, int]]]:
     out = []
-    for name, forms in LICENSES.items():
-        for form in forms:
-            for frame in FRAMES:
-                counts: dict[str, int] = {}
-                for t in terms(frame.format(form)):
-                    counts[t] = counts.get(t, 0) + 1
-                out.append((name, counts))
+    for name, statement in _statements():
+        counts: dict[str, int] = {}
+        for t in terms(statement):
+            counts[t] = counts.get(t, 0) + 1
+        out.append((name, counts))
     return out
 
 
@@ -121,10 +144,12 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", match: float
     keep = [c for c in files.columns if c != text]
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD))
     numbered = files.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_file"), F.col(path).alias("_path"), lines.alias("_lines"))
-    passages = F.filter(
+    cued = F.filter(
         F.transform("_lines", lambda x, i: F.struct((i == 0).alias("first"), F.trim(x).alias("line"))),
         lambda p: p["line"].rlike(CUE),
     )
+    parts = lambda line: F.filter(F.array_distinct(F.concat(F.array(line), F.split(line, SENTENCE_END))), lambda x: x.rlike(CUE))
+    passages = F.flatten(F.transform(cued, lambda p: F.transform(parts(p["line"]), lambda x: F.struct(p["first"].alias("first"), x.alias("line")))))
     rows = stage(numbered.select("_row", "_file", "_path", passages.alias("_passages")), "license-files")
     seen = rows.select("_row", F.explode("_passages").alias("p")).select("_row", "p.first", "p.line")
     scored = seen.groupBy("line").agg(F.lit(1).alias("_")).select("line", _score(F.col("line"), idf, n_files).alias("s"))

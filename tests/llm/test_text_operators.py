@@ -243,6 +243,18 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(df.drop("license").limit(0)).count() == 0
 
 
+def test_headers_that_the_tables_lack(spark):
+    headers = {
+        "// SPDX-License-Identifier: GPL-3.0": "GPL-3.0", "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "SPDX-License-Identifier: CC0-1.0": "CC0-1.0", "SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0",
+        "SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0", "MIT License": "MIT", "Apache License": "Apache-2.0", "GNU GENERAL PUBLIC LICENSE": "GPL-1.0-or-later",
+        "License: MIT": "MIT", "Copyright (c) 2020 Jane Doe. Licensed under the MIT License.": "MIT", "See the license for details": None, "Copyright 2020 MIT": None,
+    }
+    rows = [(i, f"d{i}/x", h + "\nplain text") for i, h in enumerate(headers)]
+    got = {r.doc_id: r.own for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(headers.values())
+
+
 def test_licence_scores_match_brute_force(spark):
     import math
 
