@@ -73,7 +73,9 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs of conversations that follow each other by rendered text, so those that share a prefix meet.
+    """Pairs of conversations that follow each other by rendered text, two by two from the first, as the SQL has it.
+
+    Those that share a prefix lie side by side, but are split where an odd number of rows lies before them.
 
     The first of two is `chosen`, with the smaller conv_id where the texts are equal.
     """
