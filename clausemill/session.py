@@ -1,13 +1,15 @@
-"""Sessions, and the package on the executors."""
+"""Sessions, what driver and executors share, and the package on the executors."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
@@ -27,6 +29,34 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return builder.getOrCreate()
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only in a local session that names none, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="clausemill-")
+        where = _own[app]
+    return where.rstrip("/")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once into the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs no recomputation of what lies before, and the rows
+    that later steps see are fixed. The folder belongs to the session's checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
