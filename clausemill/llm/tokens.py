@@ -4,7 +4,7 @@
 32-bit integers. Where the tokenizer's file says that pieces are encoded apart from each other (it
 splits at white space and between letters and other characters), pieces already met are remembered, and
 the library is asked for the others only; else it is given whole texts. What is remembered is bounded
-by MEMORY pieces; beyond that it starts afresh, which costs time but changes no id.
+by MEMORY bytes in a Python process, however long pieces are: forgetting costs time but changes no id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-MEMORY = 800_000  # about 170 MB
+MEMORY = 64_000_000  # bytes that all remembered pieces of a process may take
+LONGEST = 64  # code points of a piece that is remembered
+ENTRY = 200  # bytes of an entry beside its characters and ids: two objects and their place in the table
 
 # Texts of these characters alone are cut into runs of letters and runs of others: their lower case is
 # the same in any context, nothing in them composes, and no contraction or special token is among them.
@@ -56,14 +58,27 @@ def _byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    def __init__(self, ask) -> None:
+    """Pieces and their ids in two generations: when the young one is full, it becomes the old one.
+
+    What is met again while it is old becomes young, so common pieces are never forgotten.
+    """
+
+    def __init__(self, ask, limit: int) -> None:
         super().__init__()
-        self.ask = ask
+        self.ask, self.limit = ask, limit // 2
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        found = self[piece] = self.ask(piece)
+        found = self.old.get(piece)
+        if found is None:
+            found = self.ask(piece)
+        if len(piece) <= LONGEST:
+            if self.size >= self.limit:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[piece] = found
+            self.size += ENTRY + 2 * len(piece) + len(found)
         return found
 
 
@@ -77,8 +92,8 @@ class Encoder:
             self.apart = apart(json.load(f))
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.runs = _Memory(self._run)
-        self.chunks = _Memory(self._whole)
+        self.runs = _Memory(self._run, MEMORY // 2)
+        self.chunks = _Memory(self._whole, MEMORY // 2)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -97,9 +112,6 @@ class Encoder:
             return b"".join(map(self.runs.__getitem__, _RUNS.findall(text.lower())))
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        return map(self.ids, texts)
-
 
 _encoders: dict[str, Encoder] = {}
 
