@@ -1,13 +1,14 @@
-"""What the operators share: tables, staging in the shared folder, global numbering, components."""
+"""What the operators share: tables, global numbering, components; staging in the shared folder is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, stage
+
+__all__ = ["WORD", "components", "let", "numbered", "shared_dir", "stage", "table"]
+
 #: A word, as every contract of this subpackage has it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,32 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="clausemill-")
-        where = _own[app]
-    return where.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what lies before, and the rows
-    that later steps see are fixed. The folder belongs to the session's checkpoints.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body`, as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import numbered, stage, table
 
 ROUNDS = 6
 SEED = 20240607
@@ -55,7 +55,7 @@ def permuted(x: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) -> Colum
 
 def shard(rows: DataFrame, order: list[str], n_shards: int, seed: int = SEED) -> DataFrame:
     """`rows` (narrow) with `row_no`, `position`, `shard` and `slot`; shard sizes differ by one at most."""
-    placed = numbered(rows, order, "shard-rows")
+    placed = numbered(stage(rows, "shard-sizes"), order, "shard-rows")  # staged: a range shuffle reads its input twice
     n = placed.count()
     out = placed.withColumn("position", permuted(F.col("row_no"), n, seed))
     return out.withColumn("shard", F.pmod("position", F.lit(n_shards)).cast("int")).withColumn(
