@@ -1,13 +1,16 @@
 """SimHash near-dedup with pivot distance tables.
 
 Fingerprints come from word shingles; distinct ones only go on, so exact copies cost nothing further.
-Two fingerprints with at most three differing bits agree on one of four 16-bit bands, which deals them
-into small groups. Within a group, a table of Hamming distances to fixed reference fingerprints
+A fingerprint is cut into blocks of bits: if two differ in at most three bits, they agree on all blocks but three
+at least. So a table for each choice of the blocks to agree on deals fingerprints into small groups, and none
+loses a link. The more fingerprints there are, the more blocks: four to agree on one (16 bits), five on
+two (26 bits), six on three (32 bits), so that a group of random fingerprints stays under GROUP, and links
+sought grow with the fingerprints, not with their square. Within a group, a table of Hamming distances to fixed reference fingerprints
 (pivots) is computed; by the triangle inequality a pair whose distances to any pivot differ by more
 than three can't link. The group is swept in order of the first pivot's distance, the other
 coordinates discard by their maximum difference, and an exact comparison verifies the survivors. A
 group's links leave it as a spanning forest, never as all pairs; a group beyond BLOCK members is dealt
-into blocks whose pairs are tasks of their own, so no task holds an unbounded group.
+into parts whose pairs are tasks of their own, so no task holds an unbounded group.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null doc_id gets
 a fingerprint and the component of its group, whose id is the smallest doc_id that isn't null; repeated
@@ -19,6 +22,8 @@ doc_id and its text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,8 @@ from .common import components, stage, table
 
 SHINGLE = 3
 RADIUS = 3
-BANDS = 4
 N_PIVOTS = 12
+GROUP = 512  # random fingerprints that share a group at most, on average
 BLOCK = 2048
 
 _hash = xxhash.xxh64_intdigest
@@ -71,8 +76,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     )
 
 
-def _band(fp: Column, band: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * band).bitwiseAND(F.lit(0xFFFF)).cast("int")
+def layout(n: int, radius: int = RADIUS) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """For n fingerprints: blocks of bits (first, width), and the blocks that each table agrees on."""
+    for k in range(radius + 1, 2 * radius + 3):
+        edges = [64 * i // k for i in range(k + 1)]
+        blocks = [(a, b - a) for a, b in zip(edges, edges[1:])]
+        tables = list(combinations(range(k), k - radius))
+        if n >> min(sum(blocks[i][1] for i in t) for t in tables) <= GROUP:
+            break
+    return blocks, tables
+
+
+def _group(fp: Column, number: int, blocks: list[tuple[int, int]]) -> Column:
+    """A fingerprint's group in a table: the bits to agree on, and the table's number above them."""
+    width = sum(w for _, w in blocks)
+    parts, at = [F.lit(number << width).cast("long")], 0
+    for first, w in blocks:
+        parts.append(F.shiftleft(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << w) - 1).cast("long")), at))
+        at += w
+    return reduce(Column.bitwiseOR, parts)
 
 
 def _forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +160,11 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.select("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def link_distinct(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all of `distinct` (fp long, no repeats) as those within `radius` do."""
-    if radius >= BANDS:
-        raise ValueError(f"{BANDS} bands find at most {BANDS - 1} differing bits")
-    banded = distinct.select(
-        "fp", F.explode(F.array(*[(F.lit(b << 16) + _band(F.col("fp"), b)).cast("long") for b in range(BANDS)])).alias("band")
-    )
+def link_distinct(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, n: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all of `distinct` (fp long, no repeats) as those within `radius` do; n: lays out tables for so many."""
+    blocks, tables = layout(distinct.count() if n is None else n, radius)
+    groups = [_group(F.col("fp"), k, [blocks[i] for i in t]) for k, t in enumerate(tables)]
+    banded = distinct.select("fp", F.explode(F.array(*groups)).alias("band"))
     large = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = large.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = banded.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -162,7 +182,7 @@ def link_distinct(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK)
 
 def _rooted(prints: DataFrame, first: Column) -> DataFrame:
     """(fp, first, root) of the distinct fingerprints: `first` aggregated over each, root that of its component."""
-    distinct = prints.groupBy("fp").agg(first.alias("first"))
+    distinct = stage(prints.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
     linked = components(link_distinct(distinct.select("fp")))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")

@@ -26,6 +26,37 @@ def test_permutation_mixes(spark):
     assert other != got
 
 
+def feistel(x, n, seed=sharding.SEED):
+    """The permutation by plain arithmetic, with XXH64 as Spark chains it over the columns."""
+    a = int((n - 1) ** 0.5)
+    while a * a <= n - 1:
+        a += 1
+    b = -(-n // a)
+
+    def mix(half, k, size):
+        h = 42
+        for part in (half.to_bytes(8, "little"), k.to_bytes(4, "little"), seed.to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(part, h)
+        return (h - (1 << 64) if h >> 63 else h) % size
+
+    while True:
+        left, right = divmod(x, b)
+        for k in range(sharding.ROUNDS):
+            if k % 2 == 0:
+                left = (left + mix(right, k, a)) % a
+            else:
+                right = (right + mix(left, k, b)) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [2, 7, 100, 1001])
+def test_permutation_matches_plain_arithmetic(spark, n):
+    got = [r.p for r in spark.range(n).select(sharding.permuted(F.col("id"), n).alias("p")).collect()]
+    assert got == [feistel(x, n) for x in range(n)]
+
+
 def test_shards_match_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = sharding.op7_feistel_sharding(spark, SF).collect()
@@ -39,6 +70,8 @@ def test_shards_match_brute_force(spark):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     sizes = [len(by.get(s, [])) for s in range(8)]
     assert max(sizes) - min(sizes) <= 1
+    order = sorted(got, key=lambda r: (r.doc_id, r.text_crc32, r.size))
+    assert [(r.shard, r.slot) for r in order] == [(p % 8, p // 8) for p in (feistel(x, len(order)) for x in range(len(order)))]
     assert sorted(map(tuple, got)) == sorted(map(tuple, sharding.op7_feistel_sharding(spark, SF).collect()))
 
 
@@ -117,12 +150,20 @@ def test_empty_and_clashing_names(spark):
     assert simhash.near_duplicates(df).count() == 1
 
 
-def test_blocks_of_a_large_group_lose_no_link(spark):
+def test_layout_grows_with_the_fingerprints():
+    for n, k in ((0, 4), (10**7, 4), (10**9, 5), (10**10, 5), (10**12, 6)):
+        blocks, tables = simhash.layout(n)
+        assert len(blocks) == k and sum(w for _, w in blocks) == 64 and n >> min(sum(blocks[i][1] for i in t) for t in tables) <= simhash.GROUP
+    assert [len(simhash.layout(n)[1]) for n in (1, 10**9, 10**12)] == [4, 10, 20]
+
+
+@pytest.mark.parametrize("n", [1, 10**9, 10**12])
+def test_blocks_of_a_large_group_lose_no_link(spark, n):
     random.seed(2)
     base = random.getrandbits(64)
     prints = list({base ^ sum(1 << b for b in random.sample(range(64), random.randrange(6))) for _ in range(300)})
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    links = simhash.link_distinct(spark.createDataFrame(signed, "fp long"), block=16)
+    links = simhash.link_distinct(spark.createDataFrame(signed, "fp long"), block=16, n=n)
     got = {r.node % (1 << 64): r.root % (1 << 64) for r in components(links).collect()}
     want = classes(prints, list(range(len(prints))))
     by_want, by_got = {}, {}
