@@ -3,8 +3,8 @@
 The longest common turn prefix of a chosen and a rejected conversation is rendered once as the prompt;
 what follows on either side is a completion with a mask: the stretches of code points, [start, end),
 that a model is trained on, which are the assistant's turns with their end mark. A conversation is one
-record, as it is one training example; records are numbered and paired without a window over a key, so
-a first turn that very many share is dealt out like any other.
+record, as it is one training example; records are numbered over all and paired by number, without a window
+over a key, so a first turn that very many share is dealt out like any other.
 
 Defined cases: a null role is "unknown", a null text is empty; turns that are equal in `turn` are ordered by
 role and text; a null conv_id is a conversation of its own; identical conversations share all turns and
@@ -73,14 +73,18 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs of conversations that follow each other by rendered text, two by two from the first, as the SQL has it.
+    """Pairs of conversations that begin with the same turn, two by two in the order of their rendered text.
 
-    Those that share a prefix lie side by side, but are split where an odd number of rows lies before them.
-
-    The first of two is `chosen`, with the smaller conv_id where the texts are equal.
+    Within a first turn, those that share more turns lie side by side. The first of two is `chosen`, with the smaller
+    conv_id where the texts are equal; the odd one of a first turn has no partner, and no conversation is paired
+    with one that begins otherwise. `pair_id` is the chosen one's number in the order of all.
     """
-    placed = numbered(conversations.withColumn("_key", _render(F.col("turns"))), ["_key", "conv_id"], "chat-pairs", drop=("_key",))
-    sided = placed.select(F.floor(F.col("row_no") / 2).cast("long").alias("pair_id"), (F.col("row_no") % 2).alias("side"), F.struct("conv_id", "turns").alias("c"))
+    first = F.sha2(_render(F.slice("turns", 1, 1)), 256)
+    keyed = conversations.withColumn("_first", first).withColumn("_key", _render(F.col("turns")))
+    placed = numbered(keyed, ["_first", "_key", "conv_id"], "chat-pairs", drop=("_key",))
+    starts = placed.groupBy("_first").agg(F.min("row_no").alias("_start"))  # a row for each first turn
+    sided = placed.join(starts, "_first").withColumn("side", (F.col("row_no") - F.col("_start")) % 2)
+    sided = sided.select((F.col("row_no") - F.col("side")).alias("pair_id"), "side", F.struct("conv_id", "turns").alias("c"))
     pairs = sided.groupBy("pair_id").agg(
         F.max_by(F.when(F.col("side") == 0, F.col("c")), F.when(F.col("side") == 0, 1)).alias("a"),
         F.max_by(F.when(F.col("side") == 1, F.col("c")), F.when(F.col("side") == 1, 1)).alias("b"),
@@ -99,10 +103,11 @@ WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn
     coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
     '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head FROM conversations),
 r AS (SELECT *, head || text || '<|end|>' || chr(10) AS part FROM t),
-c AS (SELECT conv_id, string_agg(part, '' ORDER BY k) AS key, count(*) AS n FROM r GROUP BY conv_id),
-o AS (SELECT conv_id, n, row_number() OVER (ORDER BY key, conv_id NULLS FIRST) - 1 AS row_no FROM c),
-p AS (SELECT a.row_no // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.n AS n, b.row_no AS b_no
-      FROM o AS a LEFT JOIN o AS b ON b.row_no = a.row_no + 1 WHERE a.row_no % 2 = 0),
+c AS (SELECT conv_id, string_agg(part, '' ORDER BY k) AS key, sha256(max(part) FILTER (k = 1)) AS first, count(*) AS n FROM r GROUP BY conv_id),
+o AS (SELECT conv_id, first, n, row_number() OVER (ORDER BY first, key, conv_id NULLS FIRST) - 1 AS row_no,
+        row_number() OVER (PARTITION BY first ORDER BY key, conv_id NULLS FIRST) - 1 AS place FROM c),
+p AS (SELECT a.row_no AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.n AS n, b.row_no AS b_no
+      FROM o AS a LEFT JOIN o AS b ON b.row_no = a.row_no + 1 AND b.first = a.first WHERE a.place % 2 = 0),
 d AS (SELECT pair_id, min(coalesce(x.k, y.k)) AS k FROM
         (SELECT pair_id, r.k, r.part FROM p JOIN r ON r.conv_id = p.chosen_id WHERE b_no IS NOT NULL) AS x
         FULL JOIN (SELECT pair_id, r.k, r.part FROM p JOIN r ON r.conv_id = p.rejected_id) AS y USING (pair_id, k)
