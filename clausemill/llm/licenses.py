@@ -1,19 +1,25 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A line of a file that has a licence cue is a passage, and so is each sentence of it that has one; each
-distinct passage is scored once against short templates of every licence (its titles and identifiers, bare
-titles as well as frames such as "released under the ... ") as sparse TF-IDF vectors. A title of the GNU
-family without a version means any version, as these licences say. The
-document frequencies behind the weights are of the template terms, over all files. A file's own
-licence is that of its best passage of at least MATCH. A licence file (named so, or whose first
-line with a word declares one) speaks for its directory; a directory takes the licence that most of its
-licence files name; a file without a licence of its own inherits from the nearest ancestor directory
-that has one, by joining directories with their ancestors' paths: directories, not files, are expanded.
-All of it is native; a passage or a directory that very many files share is aggregated before it moves.
+Templates are the statements of every licence (titles and identifiers, bare and in frames such as "released
+under the ... "), the notices that licences ask for in source files, and the texts of the short licences. The
+passages of a file are its lines, their sentences, its paragraphs (comment marks taken off), its blocks between blank
+lines and the file as a whole; each distinct passage is scored once against all templates, as sparse TF-IDF
+vectors. Document frequencies are of the template terms, over all files. A title of the GNU family
+without a version means any version, as these licences say. A file's own licence is that of its best passage of
+at least MATCH.
+
+What can't reach MATCH isn't scored, by two bounds that lose nothing: a passage must hold one of the heaviest
+terms of some template, those without which the rest of a template is too short; and its own terms that no
+template has must not outweigh the others.
+
+A licence file (named so, or one whose first line with a word declares a licence) speaks for its directory; a directory takes the licence that most of its licence files name; a file without a
+licence of its own inherits from the nearest ancestor directory that has one, by joining directories with
+their ancestors' paths: directories, not files, are expanded. All of it is native; a passage or a directory
+that very many files share is aggregated before it moves.
 
 Defined cases: a null or empty text has no passages and can only inherit; a null path lies in no
-directory; ties go to the alphabetically first licence; repeated rows come back each; an empty table
-gives an empty result; only the columns named are read.
+directory; of passages that tie the longest counts, then the alphabetically first licence; repeated rows come back each; a very long text is cut
+into the same passages as any; an empty table gives an empty result; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, table
+from .common import WORD, let, stage, table
 
 MATCH = 0.8
-CUE = r"(?i)licen[sc]e|licensed|copyright|released under|spdx|public domain"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
 SENTENCE_END = r"(?<=[.;!?])\s+"
 TERM = r"[a-z0-9.+-]*[a-z0-9+]"
+#: What comment lines begin with.
+COMMENT = r"(?m)^[\t ]*(?:(?:/?\*+|//+|#+|--+|;+|%+|<!--)(?=[\t\r ]|$))?[\t ]*"
 
 #: Public licences by SPDX identifier, with the names that statements use.
 LICENSES = {
@@ -64,14 +71,82 @@ FRAMES = ("Licensed under {}", "Licensed under the {}", "Released under the {}",
 TITLE_FRAMES = ("{}", "License: {}")
 
 
+#: Notices and short licence texts, as their publishers give them, in paragraphs.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "3. This notice may not be removed or altered from any source distribution.",
+)
+_BOOST = 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'
+_GNU = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.",
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details.",
+    "You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>.",
+)
+_GNU_TITLE = "GNU {} Version {}, {} Copyright (C) {} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_GNU_KINDS = {
+    "AGPL-3.0": ("program", "Affero General Public License", "3", "19 November 2007", "2007"),
+    "GPL-2.0": ("program", "General Public License", "2", "June 1991", "1989, 1991"),
+    "GPL-3.0": ("program", "General Public License", "3", "29 June 2007", "2007"),
+    "LGPL-2.1": ("library", "Lesser General Public License", "2.1", "February 1999", "1991, 1999"),
+    "LGPL-3.0": ("library", "Lesser General Public License", "3", "29 June 2007", "2007"),
+}
+#: A text of several paragraphs is a template as a whole, and so is each paragraph that no other licence has.
+TEXTS: dict[str, list[str]] = {
+    "Apache-2.0": [" ".join(_APACHE), _APACHE[0], _APACHE[2], "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "BSD-2-Clause": [" ".join((*_BSD[:3], _BSD[4])), " ".join(_BSD[:3])],
+    "BSD-3-Clause": [" ".join(_BSD), " ".join(_BSD[:4]), _BSD[3]],
+    "BSL-1.0": [_BOOST, "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
+    "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "ISC": [" ".join(_ISC), _ISC[0]],
+    "MIT": [" ".join(_MIT), _MIT[0]],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": [" ".join(_ZLIB), _ZLIB[1]],
+} | {
+    name: [
+        " ".join((_GNU[0].format(what, title, version), *(p.format(what, title) for p in _GNU[1:]))),
+        _GNU[0].format(what, title, version),
+        _GNU_TITLE.format(title, version, dated, years),
+        f"GNU {title} Version {version}, {dated}",
+    ]
+    for name, (what, title, version, dated, years) in _GNU_KINDS.items()
+}
+
+
 def _statements() -> list[tuple[str, str]]:
-    """(license, statement) of every form in every frame; an identifier alone is no statement."""
+    """(license, statement) of every form in every frame, and of all texts; an identifier alone is no statement."""
     out = []
     for name, forms in LICENSES.items():
         titles = [*forms, *TITLES.get(name, [])]
         ids = [name, *(f"{name}-{v}" for v in ("only", "or-later") if name in VERSIONED)]
         out += [(name, frame.format(t)) for t in titles for frame in (*FRAMES, *TITLE_FRAMES)]
         out += [(name, frame.format(i)) for i in ids for frame in (*FRAMES, TITLE_FRAMES[1], "{} License")]
+        out += [(name, t) for t in TEXTS.get(name, [])]
     return list(dict.fromkeys(out))
 
 
@@ -107,8 +182,44 @@ def weights(n_files: int, n_with: dict[str, int]) -> dict[str, float]:
     return {t: math.log((n_files + 1) / (n_with.get(t, 0) + 1)) + 1 for t in vocabulary()}
 
 
-def _score(line: Column, idf: dict[str, float], n_files: int) -> Column:
-    """The best (cosine, license) of a passage, the alphabetically first of equals.
+def heaviest(idf: dict[str, float], match: float = MATCH) -> list[str]:
+    """Of each template the heaviest terms, so many that the rest is shorter than `match` of it.
+
+    The cosine to a passage without any of them is below `match`: it is no more than the rest's share of the length.
+    """
+    out: set[str] = set()
+    for _, counts in templates():
+        left = {t: (n * idf[t]) ** 2 for t, n in counts.items()}
+        bound = (match - 1e-6) ** 2 * sum(left.values())
+        for t in sorted(left, key=lambda t: (-left[t], t)):
+            if sum(left.values()) < bound:
+                break
+            out.add(t)
+            del left[t]
+    return sorted(out)
+
+
+_total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+_tf = lambda ts, t: F.size(F.filter(ts, lambda x: x == t)).cast("double")
+
+
+def _vector(passage: Column, idf: dict[str, float]) -> Column:
+    """(known, squared, unknown): the terms of a passage that templates have, the square of their length, and the others."""
+    weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
+    found = F.regexp_extract_all(passage, F.lit(TERM), F.lit(0))
+    known = lambda ts: F.filter(ts, lambda t: t.isin(sorted(idf)))
+    squared = lambda ks: _total(F.transform(F.array_distinct(ks), lambda t: F.pow(_tf(ks, t) * F.element_at(weight, t), F.lit(2.0))))
+    return let(found, lambda ts: let(known(ts), lambda ks: F.struct(ks.alias("known"), squared(ks).alias("squared"), F.filter(ts, lambda t: ~t.isin(sorted(idf))).alias("unknown"))))
+
+
+def _within_reach(vector: Column, n_files: int, match: float) -> Column:
+    """Whether the terms that no template has leave room for a cosine of `match`: each adds its weight's square or more."""
+    rest = (math.log(n_files + 1) + 1) ** 2
+    return F.size(vector["unknown"]) * F.lit(rest * (match - 1e-6) ** 2) <= vector["squared"] * F.lit(1 - (match - 1e-6) ** 2)
+
+
+def _score(passage: Column, idf: dict[str, float], n_files: int) -> Column:
+    """The best (cosine, license) of a passage, the alphabetically first of equals, and the number of its terms that templates have.
 
     Templates and weights enter as two constants of the plan.
     """
@@ -118,23 +229,34 @@ def _score(line: Column, idf: dict[str, float], n_files: int) -> Column:
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
         rows.append({"name": name, "terms": [{"term": t, "w": n * idf[t] ** 2 / length} for t, n in sorted(counts.items())]})
     known = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,terms:array<struct<term:string,w:double>>>>")
-    weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
-    found = F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    def best(ts: Column) -> Column:
-        tf = lambda t: F.size(F.filter(ts, lambda x: x == t)).cast("double")
-        own = F.transform(F.array_distinct(ts), lambda t: F.pow(tf(t) * F.coalesce(F.try_element_at(weight, t), F.lit(unknown)), F.lit(2.0)))
-        dots = F.transform(known, lambda k: F.struct(total(F.transform(k["terms"], lambda e: tf(e["term"]) * e["w"])).alias("dot"), k["name"].alias("name")))
+    def best(v: Column) -> Column:
+        others = _total(F.transform(F.array_distinct(v["unknown"]), lambda t: F.pow(_tf(v["unknown"], t) * F.lit(unknown), F.lit(2.0))))
+        dots = F.transform(known, lambda k: F.struct(_total(F.transform(k["terms"], lambda e: _tf(v["known"], e["term"]) * e["w"])).alias("dot"), k["name"].alias("name")))
         top = F.reduce(
             dots,
             F.struct(F.lit(-1.0).alias("dot"), F.lit("").alias("name")),
             lambda a, x: F.when(x["dot"] > a["dot"], F.struct(x["dot"].alias("dot"), x["name"].alias("name"))).otherwise(a),
         )
-        norm = F.greatest(F.sqrt(total(own)), F.lit(1e-9))
-        return F.transform(F.array(top), lambda x: F.struct((x["dot"] / norm).alias("cosine"), x["name"].alias("license")))
+        norm = F.greatest(F.sqrt(v["squared"] + others), F.lit(1e-9))
+        return let(top, lambda x: F.struct((x["dot"] / norm).alias("cosine"), x["name"].alias("license"), F.size(v["known"]).alias("terms")))
+
+    return let(_vector(passage, idf), best)
 
-    return F.element_at(F.flatten(F.transform(F.array(found), best)), 1)
+
+def _passages(text: Column, terms_: list[str]) -> Column:
+    """Of a text in lower case: array of (first, text), those with one of `terms_`; first: what speaks for a directory if it matches."""
+    holds = "|".join(re.escape(t) for t in terms_)
+    of = lambda parts, first=F.lit(False): F.transform(parts, lambda x: F.struct(first.alias("first"), F.trim(x).alias("text")))
+    plain = F.regexp_replace(text, COMMENT, "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    sentences = lambda line: F.array_distinct(F.concat(F.array(line), F.split(line, SENTENCE_END)))
+    held = F.filter(F.transform(lines, lambda x, i: F.struct((i == 0).alias("first"), x.alias("line"))), lambda p: p["line"].rlike(holds))
+    in_lines = F.flatten(F.transform(held, lambda p: of(sentences(p["line"]), p["first"])))
+    blocks = F.transform(F.split(text, r"\n[\t\r ]*\n"), lambda x: F.regexp_replace(x, COMMENT, ""))
+    paragraphs = F.concat(F.split(plain, r"\n[\t\r ]*\n"), blocks)
+    found = F.concat(in_lines, of(F.filter(paragraphs, lambda x: x.rlike(holds))), of(F.array(plain)))
+    return F.when(text.rlike(holds), F.array_distinct(F.filter(found, lambda p: p["text"].rlike(holds))))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", match: float = MATCH) -> DataFrame:
@@ -142,20 +264,16 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", match: float
     n_files, n_with = term_frequencies(files, text)
     idf = weights(n_files, n_with)
     keep = [c for c in files.columns if c != text]
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD))
-    numbered = files.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_file"), F.col(path).alias("_path"), lines.alias("_lines"))
-    cued = F.filter(
-        F.transform("_lines", lambda x, i: F.struct((i == 0).alias("first"), F.trim(x).alias("line"))),
-        lambda p: p["line"].rlike(CUE),
-    )
-    parts = lambda line: F.filter(F.array_distinct(F.concat(F.array(line), F.split(line, SENTENCE_END))), lambda x: x.rlike(CUE))
-    passages = F.flatten(F.transform(cued, lambda p: F.transform(parts(p["line"]), lambda x: F.struct(p["first"].alias("first"), x.alias("line")))))
-    rows = stage(numbered.select("_row", "_file", "_path", passages.alias("_passages")), "license-files")
+    lowered = files.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_file"), F.col(path).alias("_path"), F.lower(text).alias("_text"))
+    near = F.filter(_passages(F.col("_text"), heaviest(idf, match)), lambda p: _within_reach(_vector(p["text"], idf), n_files, match))
+    passages = F.transform(near, lambda p: F.struct(p["first"].alias("first"), p["text"].alias("line")))
+    numbered = lowered.withColumn("_passages", passages)
+    rows = stage(numbered.select("_row", "_file", "_path", "_passages"), "license-files")
     seen = rows.select("_row", F.explode("_passages").alias("p")).select("_row", "p.first", "p.line")
     scored = seen.groupBy("line").agg(F.lit(1).alias("_")).select("line", _score(F.col("line"), idf, n_files).alias("s"))
     hits = seen.join(scored.where(F.col("s.cosine") >= match), "line")
     best = hits.groupBy("_row").agg(
-        F.min(F.struct((-F.round("s.cosine", 9)).alias("least"), F.col("s.license").alias("license"))).alias("b"),
+        F.min(F.struct((-F.round("s.cosine", 9)).alias("least"), (-F.col("s.terms")).alias("short"), F.col("s.license").alias("license"))).alias("b"),
         F.bool_or("first").alias("_declares"),
     )
     own = rows.join(best, "_row", "left").select(
