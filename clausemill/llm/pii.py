@@ -1,17 +1,18 @@
 """Personal data: base patterns, and spans that a weakly supervised classifier adds.
 
 Four base kinds (email, ip, card, phone) are found by fixed patterns and checks and always stay. For
-other kinds, patterns propose candidates, and labelers vote on each: shape, checksum, gazetteer of cue
-names, context and composition, each for, against or abstaining. Expectation-maximisation over the
+other kinds, patterns propose candidates, and labelers vote on each: shape, checksum, gazetteers (of countries,
+services and known made-up values), names that stand before it, context and composition, each for, against or abstaining. Expectation-maximisation over the
 corpus' counts of vote patterns estimates how reliable each labeler is and how likely each pattern
 is right; a logistic classifier over a span's own features is trained on these likelihoods and decides.
 Patterns and features are discrete, so what reaches the driver is a table of counts whose size is
-bounded by their number (2 * 3^5 votes by a few thousand feature codes), not by the corpus. All
+bounded by their number (3 * 3^6 votes by a few thousand feature codes), not by the corpus. All
 documents are counted, whole.
 
 Defined cases: a null text is an empty one and has no spans; null ids are carried through; repeated rows
 come back each; an empty table gives an empty result, and no candidate at all gives a classifier that
-adds nothing; only the columns named are read (redaction returns all columns, the text changed).
+adds nothing; a very long text takes time in proportion to its length; only the columns named are read
+(redaction returns all columns, the text changed).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,13 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# Each pattern takes a text of any length in time in proportion to it: a run that failed from its start isn't
+# tried from its middle, where it would fail too, and what was taken isn't given back.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_CARD_LONGEST = 37  # 19 digits and what may stand between
 
 
 def _digits(s: str) -> str:
@@ -73,6 +78,8 @@ def base_spans(text: str) -> list[Span]:
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
+        if m.end() - m.start() > _CARD_LONGEST:
+            continue
         d = _digits(m[0])
         if 16 <= len(d) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -84,18 +91,32 @@ def base_spans(text: str) -> list[Span]:
 
 #: Proposals; group 1 is the span.
 _PROPOSE = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])((?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,})(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+)"),
     "ssn": re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Z0-9])"),
 }
-#: Gazetteers: names that stand before such data, and before what only looks like it.
+#: Countries whose account numbers are IBANs, and how long these are.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: How keys of well-known services begin.
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "hf_", "npm_", "pypi-", "sk_live_", "sk_test_", "rk_live_", "sk-", "xoxb-", "xoxp-", "ya29", "SG_", "dop_v1_", "shpat_", "eyJ")
+#: Words of made-up keys, and numbers printed in advertisements.
+PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "your_", "your-", "insert", "dummy", "sample", "1234567890", "abcdef0123", "0000000000")
+KNOWN_SSN = ("078-05-1120", "219-09-9999", "457-55-5462", "123-45-6789", "111-11-1111")
+#: Names that stand before such data, and before what only looks like it.
 _CUES = {
     "secret": re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|token|secret|api[_ -]?key|access[_ -]?key|credential|bearer)"),
     "ssn": re.compile(r"(?i)(ssn|social security|tax ?id)"),
     "iban": re.compile(r"(?i)(iban|account|konto|compte|cuenta|bank)"),
 }
 _LOOKALIKES = re.compile(r"(?i)(isbn|issn|doi|commit|sha-?[0-9]*|md5|build|version|part no|order|invoice|https?://\S*$)")
-N_LABELERS = 5
+N_LABELERS = 6
 _BEFORE = 24  # characters of context
 
 
@@ -104,9 +125,20 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _listed(kind: str, span: str) -> int:
+    """The gazetteers' vote: of countries, services and known made-up values."""
+    if kind == "iban":
+        return 1 if IBAN_LENGTHS.get(span[:2]) == len(span.replace(" ", "")) else -1
+    if kind == "ssn":
+        return -1 if span in KNOWN_SSN else 0
+    low = span.lower()
+    return -1 if any(w in low for w in PLACEHOLDERS) else int(span.startswith(KEY_PREFIXES))
+
+
 def _votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
-    """Of shape, checksum, gazetteer, context and composition: 1 for, -1 against, 0 abstains."""
+    """Of shape, checksum, gazetteer, cue, context and composition: 1 for, -1 against, 0 abstains."""
     digits = sum("0" <= c <= "9" for c in span)
+    listed = _listed(kind, span)
     if kind == "secret":
         shape = 1 if re.fullmatch(r"[0-9a-f]{16,64}", span) else (0 if len(span) >= 16 else -1)
         check = -1 if span.isdigit() else 0
@@ -122,7 +154,7 @@ def _votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
         composed = 1 if digits >= 10 else -1
     cue = 1 if _CUES[kind].search(before) else (-1 if _LOOKALIKES.search(before) else 0)
     context = 1 if re.search(r"[=:]\s*[\"']?$", before) else (-1 if after[:1] in ("/", "@") else 0)
-    return shape, check, cue, context, composed
+    return shape, check, listed, cue, context, composed
 
 
 def _features(kind: str, span: str, before: str) -> int:
@@ -148,23 +180,37 @@ def _design(code: int) -> np.ndarray:
     return x
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[str, int, int, int, int]]:
     """(kind, start, end, votes code, features code) of proposals clear of the base spans and each other."""
     if _DIGIT.search(text) is None:
         return []
     out: list[tuple[str, int, int, int, int]] = []
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _merged([(s, e) for _, s, e in base])
     for kind in ("iban", "ssn", "secret"):  # the stricter patterns first
+        new: list[tuple[int, int]] = []
         for m in _PROPOSE[kind].finditer(text):
             start, end = m.span(1)
-            if any(s < end and start < e for s, e in taken):
+            last = bisect_left(taken, (end, 0)) - 1  # of those that begin before the end; what one pattern finds doesn't overlap
+            if last >= 0 and taken[last][1] > start:
                 continue
             before = text[max(0, start - _BEFORE) : start].rpartition("\n")[2]
             votes = 0
             for v in _votes(kind, m[1], before, text[end : end + 2]):
                 votes = votes * 3 + v + 1
             out.append((kind, start, end, votes, _features(kind, m[1], before)))
-            taken.append((start, end))
+            new.append((start, end))
+        taken = _merged(taken + new)
     return out
 
 
@@ -319,7 +365,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: personal data is replaced; n_chars follows the new text."""
+    """Pipeline: personal data is replaced; n_chars follows the new text.
+
+    Every row stays, null and repeated ids and texts included, with all its columns, whatever their names; a null
+    text stays null; an empty table gives an empty result.
+    """
     cleaned = redact(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
