@@ -1,9 +1,12 @@
 import itertools
 import random
+import shutil
 import zlib
 from array import array
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -40,10 +43,13 @@ def test_encoder_gives_the_librarys_ids(spark, library):
 def test_encoder_starts_afresh(library, monkeypatch):
     from clausemill.llm import tokens
 
-    monkeypatch.setattr(tokens, "MEMORY", 5)
+    monkeypatch.setattr(tokens, "MEMORY", 4000)
     e = Encoder(default_path())
     t = " ".join(f"wo{c}rd" for c in "abcdefghijklmnopqrstuvwxyz")
     assert e.ids(t) == raw(library(t)) == e.ids(t)
+    assert len(e.runs) + len(e.runs.old) < 20
+    long = "x" * 10_000 + " " + "é日本" * 5000
+    assert e.ids(long) == raw(library(long)) and max(map(len, [*e.runs, *e.chunks])) <= tokens.LONGEST
 
 
 def best_count(lengths, capacity):
@@ -80,7 +86,7 @@ def test_best_two_fit_is_near_the_fewest():
 def test_two_replace_the_smallest():
     # greedy: 10 + 6, gap 4; 6 gives way to 5 + 5, which fill the gap
     counts = np.bincount([10, 6, 5, 5], minlength=21)
-    assert packing.best_two_fit(counts, 20)[0] == ([10, 6], 1) or sum(packing.best_two_fit(counts, 20)[0][0]) == 20
+    assert packing.best_two_fit(counts, 20) == [([10, 5, 5], 1), ([6], 1)]
 
 
 def check_packing(rows, got, library, capacity):
@@ -137,29 +143,72 @@ def test_store_edges_and_reconstruction(spark, library, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("mine"))
     path = f"{tmp_path}/store"
     token_store.write(df, path)
-    ordered = token_store.recipes(spark, path)
+    ordered = token_store.verified(spark, path)
     got, want = check_store(rows, token_store.read_back(ordered, token_store.chunk_sums(spark, path)).collect(), library)
     assert got == want
     back = {r.doc_id: r.ids for r in token_store.reconstruct(spark, path, df.select("doc_id")).collect()}
     assert all(back[d] == [*library(t), 1] for d, t, _ in rows if d is not None)
     keys = [r.key for r in token_store.chunk_sums(spark, path).collect()]
     assert len(keys) == len(set(keys))
-    assert token_store.root(token_store.manifest(ordered)) == token_store.root(token_store.manifest(ordered))
+    # the files hold the recipes in ascending order, part by part
+    parts = sorted(Path(path, "recipes").glob("part=*"), key=lambda p: int(p.name[5:]))
+    ids = [x.as_py() for p in parts for f in sorted(p.glob("*.parquet")) for x in pq.read_table(f, partitioning=None)["doc_id"]]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and len(ids) == len(rows)
 
 
 def test_empty_store(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     path = f"{tmp_path}/empty"
     token_store.write(df, path)
-    ordered = token_store.recipes(spark, path)
+    ordered = token_store.verified(spark, path)
     assert ordered.count() == 0 and token_store.root(token_store.manifest(ordered)) is None
 
 
+def damaged(spark, tmp_path, change):
+    """A store whose recipe files `change` has written anew."""
+    path = f"{tmp_path}/store"
+    token_store.write(spark.createDataFrame([(i, f"some words {i}", "x") for i in range(6)], SCHEMA), path)
+    token_store.verified(spark, path)
+    rows = [r.asDict() for r in token_store._recipes(spark, path).orderBy("doc_id").collect()]
+    shutil.rmtree(f"{path}/recipes")
+    spark.createDataFrame(change(rows), token_store._RECIPE_SQL + ", part int").write.partitionBy("part").parquet(f"{path}/recipes")
+    return path
+
+
+def exchanged(rows, *names):
+    for n in names:
+        rows[2][n], rows[3][n] = rows[3][n], rows[2][n]
+    return rows
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda rows: exchanged(rows, "digests"), lambda rows: exchanged(rows, "digests", "key"), lambda rows: exchanged(rows, "doc_id"), lambda rows: exchanged(rows, "at"),
+        lambda rows: [*rows[:2], rows[2] | {"before": rows[2]["before"] + 1}, *rows[3:]], lambda rows: rows[:-1], lambda rows: [*rows, rows[-1]], lambda rows: rows[1:], lambda rows: [],
+    ],
+)
+def test_changed_recipes_are_noticed(spark, tmp_path, change):
+    path = damaged(spark, tmp_path, change)
+    with pytest.raises(Exception, match="manifest's root|don't add up"):
+        token_store.verified(spark, path)
+
+
+def test_a_lost_chunk_is_noticed(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    token_store.write(spark.createDataFrame([(1, "some words", "x"), (2, "other words", "x")], SCHEMA), path)
+    left = token_store._read(spark, path, "chunk").limit(1).collect()
+    shutil.rmtree(f"{path}/encoded/kind=chunk")
+    spark.createDataFrame(left, "key binary, payload binary, kind string").write.partitionBy("kind").mode("append").parquet(f"{path}/encoded")
+    with pytest.raises(Exception, match="isn't stored as it says"):
+        token_store.read_back(token_store.verified(spark, path), token_store.chunk_sums(spark, path)).collect()
+
+
 def test_a_changed_chunk_is_noticed(spark, tmp_path):
     path = f"{tmp_path}/store"
     token_store.write(spark.createDataFrame([(1, "some words", "x")], SCHEMA), path)
-    rows = spark.read.parquet(path).where("kind = 'chunk'").withColumn("key", F.lit(b"0123456789abcdef"))
-    rows.write.partitionBy("kind").mode("append").parquet(path)
+    rows = token_store._read(spark, path, "chunk").withColumn("key", F.lit(b"0123456789abcdef"))
+    rows.write.partitionBy("kind").mode("append").parquet(f"{path}/encoded")
     with pytest.raises(Exception, match="doesn't hash to its name"):
         token_store.chunk_sums(spark, path).collect()
 
