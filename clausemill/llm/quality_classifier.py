@@ -4,7 +4,8 @@ Each class gets a mean and a shrinkage covariance of the transformed statistics;
 is the logistic of the difference of the two log densities and priors, where the Mahalanobis distances
 use Cholesky factors that are factored once and enter the plan as constants. Statistics, moments and
 scores are native expressions; only the moments of two classes (a few hundred numbers) reach the
-driver. All labelled rows that may be learnt from are used, without sampling.
+driver. The query learns from all labelled rows that may be learnt from; the pipeline's stage from a bounded
+number of them, FIT_ROWS.
 
 Defined cases: a null text is an empty one, and both get a score; a null or unlabelled doc_id is scored
 but never learnt from; a document with clashing labels counts with the smallest; repeated rows are
@@ -28,6 +29,7 @@ from .quality_rules import SPACES, STOP_WORDS, SYMBOLS, _count
 FEATURES = ("word_chars", "symbols", "marks", "capitals", "digits", "variety", "stops", "lines", "line_variety")
 SHRINKAGE = 0.05  # share of the diagonal target in each covariance
 FLOOR = 1e-3  # least variance of a feature
+FIT_ROWS = 20_000  # labelled documents that the pipeline's stage learns from at most: a table of 300 kB
 
 
 def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -141,10 +143,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learnable(labels: DataFrame) -> DataFrame:
-    """(doc_id, label), one row a document, of those that may be learnt from."""
+def learnable(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, label), one row a document, of those that may be learnt from: all, or the `most` first by a hash of doc_id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
-    return usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    found = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    return found if most is None else found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +160,18 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that the classifier rejects go."""
-    measured = stage(statistics(docs, ["doc_id"]), "quality-statistics")
-    model = fit(measured.join(learnable(table(spark, sf_dir, "labels")), "doc_id"))
-    scored = statistics(docs, list(docs.columns)).where(model.score() >= 0.5)
-    return scored.select(*docs.columns)
+    """Pipeline: documents that the classifier rejects go.
+
+    It learns from FIT_ROWS labelled documents at most, so their ids are few enough to broadcast, only their
+    texts are measured twice, and no text moves. A null or empty text gets a score as any other; a null doc_id is
+    scored but never learnt from; rows that repeat are judged each for itself; without labels all rows stay; an
+    empty table gives an empty result; whatever columns are named, all come back, as they were.
+    """
+    few = F.broadcast(learnable(table(spark, sf_dir, "labels"), FIT_ROWS))
+    model = fit(statistics(docs.select("doc_id", "text").join(few, "doc_id"), ["label"]))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"), F.col("text").alias("_text"))
+    kept = statistics(whole, ["_document"], "_text").where(model.score() >= 0.5)
+    return kept.select(*[F.col(f"_document.`{c}`").alias(c) for c in docs.columns])
 
 
 QUERIES = {"op3_quality_classifier": op3_quality_classifier}

@@ -95,25 +95,47 @@ def test_scores_are_finite_at_the_edges(spark):
 
 
 def test_score_matches_numpy(spark):
+    """Means, shrinkage, factors and scores anew from the statistics alone."""
     import numpy as np
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stats = qc.statistics(docs, ["doc_id"]).join(qc.learnable(spark.read.parquet(f"{SF}/labels.parquet")), "doc_id")
-    model = qc.fit(stats)
-    rows = stats.withColumn("s", model.score()).collect()
+    rows = stats.withColumn("s", qc.fit(stats).score()).collect()
     x = np.array([[r[f"f_{k}"] for k in qc.FEATURES] for r in rows])
+    label = np.array([r.label for r in rows])
 
-    def density(g):
-        z = (x - g.mean) @ g.whiten.T
-        return g.log_prior - g.half_log_det - 0.5 * (z * z).sum(1)
+    def density(c):
+        own = x[label == c]
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - qc.SHRINKAGE) * cov + qc.SHRINKAGE * np.diag(np.maximum(np.diag(cov), qc.FLOOR)) + qc.FLOOR * np.eye(len(qc.FEATURES))
+        gap = x - own.mean(0)
+        return np.log(len(own) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap)
 
-    want = 1 / (1 + np.exp(-np.clip(density(model.good) - density(model.bad), -700, 700)))
-    assert np.allclose(want, [r.s for r in rows], atol=1e-9)
+    want = 1 / (1 + np.exp(-np.clip(density(1) - density(0), -700, 700)))
+    assert np.allclose(want, [r.s for r in rows], atol=1e-6)
 
 
 def test_stage_keeps_columns_and_clean_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.lit(1)).withColumn("f_marks", F.lit("x"))
-    kept = qc.stage_quality(spark, docs.drop("f_marks"), SF)
-    assert kept.columns == docs.drop("f_marks").columns
-    bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").join(kept, "doc_id", "left_anti")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.lit(1))
+    for name in ("f_marks", "_words", "_n", "_lines", "_text", "_document", "label"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = qc.stage_quality(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.select("label").distinct().collect() == [("mine",)]
+    bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").join(kept, "doc_id", "left_anti")
     assert bad.count() == 0
+
+
+def test_stage_judges_each_row_for_itself(spark):
+    known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    good = known.join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").first().text
+    junk = "$ # | " * 40
+    rows = [(None, good, "x"), (None, junk, "x"), (-1, good, "x"), (-1, good, "x"), (-1, junk, "x"), (-2, None, "x"), (-2, "", "x"), (-3, "word " * 200_000, "x")]
+    every = qc.stage_quality(spark, spark.createDataFrame(rows, known.schema).unionByName(known), SF).where("doc_id is null or doc_id < 0").collect()
+    assert sorted((r.doc_id or 0) for r in every if r.text == good) == [-1, -1, 0]
+    assert not any(r.text == junk for r in every)
+
+
+def test_learning_rows_are_bounded(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    few = qc.learnable(labels, 40).collect()
+    assert len(few) == 40 and {r.label for r in few} == {0, 1} and few == qc.learnable(labels, 40).collect()
