@@ -1,24 +1,28 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is the query set. Its word pairs are seeds, looked up in every document in one pass, with
-the number of documents that hold each. In a copy of an item of m words up to a fifth of them are lost,
-and up to a quarter of those kept may be added between: a lost word spoils two pairs, an added one
-one, so at least 0.4 m - 1 are left and a stretch of a document with fewer can't be a copy. Pairs, not
-runs of three: words lost and words added, spread evenly, can leave no three in a row.
-Of what is left, the rarest seed in the corpus anchors the alignment: the window around it is
-aligned to the item, word by word, and hits outside the window anchor windows of their own. A pair
+The benchmark is the query set. Its word pairs are counted over all documents: one pass. In a copy of an
+item of m words up to a fifth of them are lost, and up to a quarter of those kept may be added between: a
+lost word spoils two pairs, an added one one, so of the m - 1 pairs at least L, about 0.4 m - 1, are left.
+So any m - L of them hold one that is left (all but those would be L - 1): the rarest m - L pairs
+of an item are its seeds, and a second pass joins documents to items by these alone. Pairs of common words
+are seeds only where an item has nothing rarer, and an item whose rarest m - L pairs occur nowhere is not
+looked for at all. Pairs, not runs of three: words lost and words added, spread evenly, can leave no
+three in a row.
+A seed anchors the alignment: the window around it, as far as a copy can reach, is aligned to the item, word
+by word; the rarest come first, and seeds that an aligned copy covers anchor no more. A window
 counts if matches make up SIMILARITY of the longer of the item and its aligned stretch, or of any
 part of that, or, where that falls short, of any stretch of the window. However many documents hold a
-passage, it counts: rarity only orders the anchors. Items of a few words can occur by chance; a caller
+passage, it counts: rarity only chooses the seeds. Items of a few words can occur by chance; a caller
 who wants to leave these out has `rarest_docs`.
 
-Seeds are kept by each task, in blocks of at most MAX_SEEDS: a benchmark beyond that takes one
-pass over the documents for each block. Windows that are alike are aligned once, so a passage in very
+Seeds are kept by each task, in blocks of at most MAX_SEEDS: a benchmark beyond that takes two
+passes over the documents for each block. Windows that are alike are aligned once, so a passage in very
 many documents costs little. No document is moved: the only shuffle is of counts by seed.
 
 Defined cases: a null or empty text, of a document or an item, matches nothing; an item of one or two
 words is its own seed; null ids are carried through; repeated rows come back each; an empty table on
-either side gives an empty result; only the columns named are read.
+either side gives an empty result; a very long text is read once, with memory for its words and the places
+of its seeds; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,159 +173,159 @@ class _Memory(OrderedDict):
         return self[key]
 
 
-def _stretches(hits: list[tuple[int, int, int]], m: int, least: int) -> list[list[tuple[int, int, int]]]:
-    """Groups of hits (place in document, in item, seed): those that have `least` item places within the length that a copy may have."""
-    reach = int(m / SIMILARITY + 1e-9) + N
-    inside: Counter[int] = Counter()
-    spans: list[list[int]] = []  # of hits, [first, last]; those that overlap are one
-    lo = 0
-    for hi in range(len(hits)):
-        inside[hits[hi][1]] += 1
-        while hits[hi][0] - hits[lo][0] > reach:
-            inside[hits[lo][1]] -= 1
-            if not inside[hits[lo][1]]:
-                del inside[hits[lo][1]]
-            lo += 1
-        if len(inside) >= least:
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
-    return [hits[a : b + 1] for a, b in spans]
-
-
-_IDS = {"long": pa.int64(), "string": pa.string()}
-_FOUND = "item int, doc_id {}, at long, words array<string>, places array<int>, seeds array<int>, seed int, n_docs long"
-_FOUND_SCHEMA = lambda ids: pa.schema(
-    [("item", pa.int32()), ("doc_id", _IDS[ids]), ("at", pa.int64()), ("words", pa.list_(pa.string())),
-     ("places", pa.list_(pa.int32())), ("seeds", pa.list_(pa.int32())), ("seed", pa.int32()), ("n_docs", pa.int64())]
-)
-
-
-def _find(docs: DataFrame, items: list[tuple[str, ...]], ids: str) -> DataFrame:
-    """Stretches of documents that may be copies, and (seed, n_docs) counts of each task."""
-    index: dict[tuple[str, ...], int] = {}
-    where: list[list[tuple[int, int]]] = []
-    for k, item in enumerate(items):
-        for p, g in enumerate(_grams(list(item))):
-            if g not in index:
-                index[g] = len(where)
-                where.append([])
-            where[index[g]].append((k, p))
-    sizes = sorted({len(g) for g in index})
-    shared = docs.sparkSession.sparkContext.broadcast((index, where))  # MAX_SEEDS at most
-    schema = _FOUND_SCHEMA(ids)
+Item = tuple[int, tuple[str, ...]]  # id, words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, where = shared.value
-        n_docs: Counter[int] = Counter()
-        for batch in batches:
-            out: list[dict] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(text.as_py())
-                found: list[tuple[int, int]] = []
-                for n in sizes:
-                    if len(words) >= n:
-                        grams = zip(*(words[i:] for i in range(n)))
-                        found.extend([(at, index[g]) for at, g in enumerate(grams) if g in index])
-                if not found:
-                    continue
-                n_docs.update({s for _, s in found})
-                by_item: dict[int, list[tuple[int, int, int]]] = {}
-                for at, s in sorted(found):
-                    for k, p in where[s]:
-                        by_item.setdefault(k, []).append((at, p, s))
-                for k, hits in by_item.items():
-                    m = len(items[k])
-                    least, reach = least_seeds(m), int(m / SIMILARITY + 1e-9) + N
-                    if len(hits) < least:
-                        continue
-                    for g in _stretches(hits, m, least):
-                        lo, hi = max(0, g[0][0] - reach), g[-1][0] + reach + N
-                        out.append(
-                            {"item": k, "doc_id": doc_id, "at": lo, "words": words[lo:hi],
-                             "places": [h[0] - lo for h in g], "seeds": [h[2] for h in g]}
-                        )
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-        counts = [{"seed": s, "n_docs": n} for s, n in n_docs.items()]
-        yield pa.RecordBatch.from_pylist(counts, schema=schema)
 
+def _tasks(docs: DataFrame, run, schema) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast(ids).alias("doc_id"), "text").mapInArrow(run, _FOUND.format(ids))
+    return docs.mapInArrow(run, schema)
 
 
-_MATCH = "item int, doc_id {}, similarity double, start_word long, end_word long, rarest_docs long"
-_MATCH_SCHEMA = lambda ids: pa.schema(
-    [("item", pa.int32()), ("doc_id", _IDS[ids]), ("similarity", pa.float64()), ("start_word", pa.int64()),
-     ("end_word", pa.int64()), ("rarest_docs", pa.int64())]
-)
+def _found(words: list[str], index: dict[tuple[str, ...], int], sizes: list[int]) -> list[tuple[int, int]]:
+    """(place, number) of the grams of `words` that `index` has."""
+    return [(at, k) for n in sizes for at, k in enumerate(map(index.get, zip(*(words[i:] for i in range(n))))) if k is not None]
 
 
-def _match(stretches: DataFrame, items: list[tuple[str, ...]], n_docs: dict[int, int], similarity: float, ids: str) -> DataFrame:
-    schema = _MATCH_SCHEMA(ids)
-    shared = stretches.sparkSession.sparkContext.broadcast(n_docs)  # a number for each seed
+def document_counts(docs: DataFrame, grams: list[tuple[str, ...]]) -> dict[int, int]:
+    """By number of each gram that occurs: the documents that hold it."""
+    shared = docs.sparkSession.sparkContext.broadcast({g: k for k, g in enumerate(grams)})  # MAX_SEEDS at most
+    sizes = sorted({len(g) for g in grams})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, memory = shared.value, _Memory()
+        index, n_docs = shared.value, Counter()
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                item, words = items[r["item"]], r["words"]
-                m = len(item)
-                reach = int(m / similarity + 1e-9) + N
-                hits = sorted((counts.get(s, 0), p) for p, s in zip(r["places"], r["seeds"]))
-                rarest = hits[0][0]
-                done: list[tuple[int, int]] = []
-                best = (0.0, 0, 0)
-                for _, place in hits:  # the rarest first
-                    if any(lo <= place and place + N <= hi for lo, hi in done):
-                        continue
-                    lo, hi = max(0, place - reach), min(len(words), place + reach + N)
-                    score, start, end = memory.align(r["item"], item, tuple(words[lo:hi]), similarity)
-                    done.append((place, place + N) if score < similarity else (lo + start, lo + end))
-                    if score > best[0]:
-                        best = (score, r["at"] + lo + start, r["at"] + lo + end)
-                    if score == 1.0:
-                        break
-                if best[0] >= similarity:
-                    out.append({"item": r["item"], "doc_id": r["doc_id"], "similarity": best[0], "start_word": best[1], "end_word": best[2], "rarest_docs": rarest})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    ship(stretches.sparkSession)
-    return stretches.select("item", "doc_id", "at", "words", "places", "seeds").mapInArrow(run, _MATCH.format(ids))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_type: str = "long") -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, end_word, rarest_docs), a row for each stretch of a document that copies an item."""
-    spark = docs.sparkSession
-    found = None
-    block: list[tuple[int, tuple[str, ...]]] = []
+            for text in batch.column(0):
+                n_docs.update({k for _, k in _found(words_of(text.as_py()), index, sizes)})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n_docs), pa.int32()), pa.array(list(n_docs.values()), pa.int64())], names=["gram", "n"])
+
+    counted = _tasks(docs.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in counted.collect()}  # MAX_SEEDS rows at most
+
+
+def rare_seeds(items: list[Item], n_docs: dict[tuple[str, ...], int], similarity: float = SIMILARITY) -> dict[tuple[str, ...], list[int]]:
+    """By seed, the numbers of its items: of each item the rarest pairs that a copy can't all have lost."""
+    out: dict[tuple[str, ...], dict[int, None]] = {}
+    for k, (_, words) in enumerate(items):
+        grams = _grams(list(words))
+        enough = len(grams) - least_seeds(len(words), similarity=similarity) + 1
+        for _, p in sorted((n_docs.get(g, 0), p) for p, g in enumerate(grams))[:enough]:
+            if grams[p] in n_docs:  # what no document holds finds nothing
+                out.setdefault(grams[p], {})[k] = None
+    return {g: list(ks) for g, ks in out.items()}
+
+
+def _best(words: list[str], item_no: int, item: tuple[str, ...], hits: list[tuple[int, int]], similarity: float, memory: _Memory) -> tuple[float, int, int]:
+    """The best copy around `hits` (documents that hold the seed, place), those of the rarest seeds first."""
+    reach = int(len(item) / similarity + 1e-9) + N
+    done: list[tuple[int, int]] = []
+    best = (0.0, 0, 0)
+    for _, place in sorted(hits):
+        if any(lo <= place and place + N <= hi for lo, hi in done):
+            continue
+        lo = max(0, place - reach)
+        score, start, end = memory.align(item_no, item, tuple(words[lo : place + reach + N]), similarity)
+        if score >= similarity:
+            done.append((lo + start, lo + end))
+        if score > best[0]:
+            best = (score, lo + start, lo + end)
+        if score == 1.0:
+            break
+    return best
+
+
+class Finder:
+    """The copies of a block of items in a text, by the rare seeds. It is small, and each task has one."""
+
+    def __init__(self, items: list[Item], n_docs: dict[tuple[str, ...], int], similarity: float) -> None:
+        seeds = rare_seeds(items, n_docs, similarity)
+        self.items, self.similarity = items, similarity
+        self.index = {g: k for k, g in enumerate(seeds)}
+        self.where = list(seeds.values())
+        self.counts = [n_docs[g] for g in seeds]
+        self.sizes = sorted({len(g) for g in seeds})
+        self.memory = _Memory()
+
+    def copies(self, text: str | None) -> Iterator[tuple[int, float, int, int, int]]:
+        """(item_id, similarity, start_word, end_word, rarest_docs) of each stretch that copies an item."""
+        words = words_of(text)
+        by_item: dict[int, list[tuple[int, int]]] = {}
+        for at, s in sorted(_found(words, self.index, self.sizes)):
+            for k in self.where[s]:
+                by_item.setdefault(k, []).append((at, s))
+        for k, hits in by_item.items():
+            item_id, item = self.items[k]
+            reach = int(len(item) / self.similarity + 1e-9) + N
+            first = 0
+            for i in range(1, len(hits) + 1):  # hits too far apart for one copy belong to different stretches
+                if i < len(hits) and hits[i][0] - hits[i - 1][0] <= reach:
+                    continue
+                ranked = [(self.counts[s], at) for at, s in hits[first:i]]
+                first = i
+                score, start, end = _best(words, k, item, ranked, self.similarity, self.memory)
+                if score >= self.similarity - 1e-9:
+                    yield item_id, score, start, end, min(ranked)[0]
+
+
+def finders(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> Iterator[Finder]:
+    """One for each block of items, once its seeds are counted over all of `docs`."""
+    block: list[Item] = []
     size = 0
 
-    def flush() -> DataFrame:
-        ids, items = [i for i, _ in block], [w for _, w in block]
-        hits = stage(_find(docs, items, id_type), "decontamination-hits")
-        counts = hits.where("seed is not null").groupBy("seed").agg(F.sum("n_docs").alias("n")).collect()  # MAX_SEEDS at most
-        matched = _match(hits.where("item is not null"), items, {r["seed"]: r["n"] for r in counts}, similarity, id_type)
-        names = F.array(*[F.lit(i).cast("long") for i in ids])
-        return matched.select(
-            "doc_id", F.get(names, F.col("item")).alias("item_id"), "similarity", "start_word", "end_word", "rarest_docs"
-        )
-
-    for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():  # a block at a time
+    def flush() -> Finder:
+        grams = list(dict.fromkeys(g for _, words in block for g in _grams(list(words))))
+        return Finder(list(block), {grams[k]: n for k, n in document_counts(docs, grams).items()}, similarity)
+
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id").toLocalIterator():  # a block at a time
         w = tuple(words_of(r["text"]))
         if not w:
             continue
         if block and size + len(w) > MAX_SEEDS:
-            found = flush() if found is None else found.unionByName(flush())
+            yield flush()
             block, size = [], 0
         block.append((r["item_id"], w))
         size += len(w)
     if block:
-        found = flush() if found is None else found.unionByName(flush())
-    if found is None:
-        return spark.createDataFrame([], f"doc_id {id_type}, item_id long, similarity double, start_word long, end_word long, rarest_docs long")
-    return found
+        yield flush()
+
+
+_NAMES = ["doc_id", "item_id", "similarity", "start_word", "end_word", "rarest_docs"]
+_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+_MATCH = "doc_id long, item_id long, similarity double, start_word long, end_word long, rarest_docs long"
+
+
+def _matches(docs: DataFrame, finder: Finder) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(finder)  # MAX_SEEDS seeds at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies = shared.value.copies
+        for batch in batches:
+            out = [(doc_id, *c) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)) for c in copies(text.as_py())]
+            columns = zip(*out) if out else [()] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+
+    return _tasks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _MATCH)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, end_word, rarest_docs), a row for each stretch of a document that copies an item."""
+    found = [_matches(docs, f) for f in finders(docs, benchmark, similarity)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _MATCH)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs`, all columns, whose text copies no item: told where they lie, so that no row moves and no id decides."""
+    place = docs.columns.index("text")
+    out = docs
+    for finder in finders(docs, benchmark, similarity):
+        shared = docs.sparkSession.sparkContext.broadcast(finder)  # MAX_SEEDS seeds at most
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            copies = shared.value.copies
+            for batch in batches:
+                yield batch.filter(pa.array([next(copies(t.as_py()), None) is None for t in batch.column(place)], pa.bool_()))
+
+        out = _tasks(out, run, docs.schema)
+    return out
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,11 +333,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that copy a benchmark item go, told by their text: a doc_id may be null or repeated."""
-    key = F.sha2("text", 256)
-    texts = docs.select(key.alias("doc_id"), "text")
-    hit = contaminated(texts, table(spark, sf_dir, "benchmark"), id_type="string").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(stage(hit, "decontaminated"), "_key", "left_anti").select(*docs.columns)
+    """Pipeline: documents that copy a benchmark item go, each row told by its own text.
+
+    A null or empty text copies nothing and stays; ids, null or repeated, decide nothing; repeated rows go or stay alike;
+    an empty table gives an empty result; all columns come back, whatever their names.
+    """
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination}

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from clausemill.llm import registry
 
@@ -28,6 +31,26 @@ def test_stages(spark, tmp_path):
     assert pack(again) == pack(docs)
 
 
+ROWS = [(None, "one clean text of its own", "x"), (None, None, None), (1, "", "x"), (1, "another text, of the same id", "x"), (1, "another text, of the same id", "x"), (2, "long " * 30_000, "x")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_any_table(spark, name, stage):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long"))
+    for c in ("_key", "_row", "key", "fp", "root", "seed", "f_marks", "part", "length", "spans"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    got, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+    assert none.count() == 0 and none.columns == got.columns
+    if name == "packing":
+        assert got.where("piece = 0").count() == len(ROWS)
+        return
+    assert got.columns == docs.columns and got.select("fp").distinct().count() <= 1
+    texts = [r.text for r in got.collect()]
+    if name != "quality classifier":
+        assert None in texts or "" in texts  # these are copies of each other, no more
+        assert "one clean text of its own" in texts and "another text, of the same id" in texts and ROWS[-1][1] in texts
+
+
 def test_native_operators_import_no_python_functions():
     """Of the marked operators: nothing that runs Python on executors."""
     import ast
