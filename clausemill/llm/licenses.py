@@ -8,8 +8,8 @@ vectors. Document frequencies are of the template terms, over all files. A title
 without a version means any version, as these licences say. A file's own licence is that of its best passage of
 at least MATCH.
 
-What can't reach MATCH isn't scored, by two bounds that lose nothing: a passage must hold one of the heaviest
-terms of some template, those without which the rest of a template is too short; and its own terms that no
+What can't reach MATCH isn't scored, by two bounds that lose nothing: a passage must hold one of some template's
+telling terms, those without which the rest of the template is too short; and its own terms that no
 template has must not outweigh the others.
 
 A licence file (named so, or one whose first line with a word declares a licence) speaks for its directory; a directory takes the licence that most of its licence files name; a file without a
@@ -182,8 +182,8 @@ def weights(n_files: int, n_with: dict[str, int]) -> dict[str, float]:
     return {t: math.log((n_files + 1) / (n_with.get(t, 0) + 1)) + 1 for t in vocabulary()}
 
 
-def heaviest(idf: dict[str, float], match: float = MATCH) -> list[str]:
-    """Of each template the heaviest terms, so many that the rest is shorter than `match` of it.
+def telling(idf: dict[str, float], match: float = MATCH) -> list[str]:
+    """Of each template the terms that fewest files hold, so many that the rest is shorter than `match` of it.
 
     The cosine to a passage without any of them is below `match`: it is no more than the rest's share of the length.
     """
@@ -191,7 +191,7 @@ def heaviest(idf: dict[str, float], match: float = MATCH) -> list[str]:
     for _, counts in templates():
         left = {t: (n * idf[t]) ** 2 for t, n in counts.items()}
         bound = (match - 1e-6) ** 2 * sum(left.values())
-        for t in sorted(left, key=lambda t: (-left[t], t)):
+        for t in sorted(left, key=lambda t: (-round(idf[t], 9), -left[t], t)):
             if sum(left.values()) < bound:
                 break
             out.add(t)
@@ -201,21 +201,21 @@ def heaviest(idf: dict[str, float], match: float = MATCH) -> list[str]:
 
 _total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 _tf = lambda ts, t: F.size(F.filter(ts, lambda x: x == t)).cast("double")
+_terms = lambda text: F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
-def _vector(passage: Column, idf: dict[str, float]) -> Column:
-    """(known, squared, unknown): the terms of a passage that templates have, the square of their length, and the others."""
+def _squared(known: Column, idf: dict[str, float]) -> Column:
+    """The square of the length that a passage's terms of templates have."""
     weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
-    found = F.regexp_extract_all(passage, F.lit(TERM), F.lit(0))
-    known = lambda ts: F.filter(ts, lambda t: t.isin(sorted(idf)))
-    squared = lambda ks: _total(F.transform(F.array_distinct(ks), lambda t: F.pow(_tf(ks, t) * F.element_at(weight, t), F.lit(2.0))))
-    return let(found, lambda ts: let(known(ts), lambda ks: F.struct(ks.alias("known"), squared(ks).alias("squared"), F.filter(ts, lambda t: ~t.isin(sorted(idf))).alias("unknown"))))
+    return _total(F.transform(F.array_distinct(known), lambda t: F.pow(_tf(known, t) * F.element_at(weight, t), F.lit(2.0))))
 
 
-def _within_reach(vector: Column, n_files: int, match: float) -> Column:
-    """Whether the terms that no template has leave room for a cosine of `match`: each adds its weight's square or more."""
-    rest = (math.log(n_files + 1) + 1) ** 2
-    return F.size(vector["unknown"]) * F.lit(rest * (match - 1e-6) ** 2) <= vector["squared"] * F.lit(1 - (match - 1e-6) ** 2)
+def _within_reach(ts: Column, idf: dict[str, float], n_files: int, match: float) -> Column:
+    """Whether terms that no template has leave room for a cosine of `match`: each adds its weight's square or more."""
+    share = (match - 1e-6) ** 2
+    rest = (math.log(n_files + 1) + 1) ** 2 * share
+    known = F.filter(ts, lambda t: t.isin(sorted(idf)))
+    return let(known, lambda ks: (F.size(ts) - F.size(ks)) * F.lit(rest) <= _squared(ks, idf) * F.lit(1 - share))
 
 
 def _score(passage: Column, idf: dict[str, float], n_files: int) -> Column:
@@ -230,33 +230,31 @@ def _score(passage: Column, idf: dict[str, float], n_files: int) -> Column:
         rows.append({"name": name, "terms": [{"term": t, "w": n * idf[t] ** 2 / length} for t, n in sorted(counts.items())]})
     known = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,terms:array<struct<term:string,w:double>>>>")
 
-    def best(v: Column) -> Column:
-        others = _total(F.transform(F.array_distinct(v["unknown"]), lambda t: F.pow(_tf(v["unknown"], t) * F.lit(unknown), F.lit(2.0))))
-        dots = F.transform(known, lambda k: F.struct(_total(F.transform(k["terms"], lambda e: _tf(v["known"], e["term"]) * e["w"])).alias("dot"), k["name"].alias("name")))
+    def best(ts: Column, ks: Column) -> Column:
+        others = F.filter(ts, lambda t: ~t.isin(sorted(idf)))
+        rest = let(others, lambda us: _total(F.transform(F.array_distinct(us), lambda t: F.pow(_tf(us, t) * F.lit(unknown), F.lit(2.0)))))
+        dots = F.transform(known, lambda k: F.struct(_total(F.transform(k["terms"], lambda e: _tf(ks, e["term"]) * e["w"])).alias("dot"), k["name"].alias("name")))
         top = F.reduce(
             dots,
             F.struct(F.lit(-1.0).alias("dot"), F.lit("").alias("name")),
             lambda a, x: F.when(x["dot"] > a["dot"], F.struct(x["dot"].alias("dot"), x["name"].alias("name"))).otherwise(a),
         )
-        norm = F.greatest(F.sqrt(v["squared"] + others), F.lit(1e-9))
-        return let(top, lambda x: F.struct((x["dot"] / norm).alias("cosine"), x["name"].alias("license"), F.size(v["known"]).alias("terms")))
+        norm = F.greatest(F.sqrt(_squared(ks, idf) + rest), F.lit(1e-9))
+        return let(top, lambda x: F.struct((x["dot"] / norm).alias("cosine"), x["name"].alias("license"), F.size(ks).alias("terms")))
 
-    return let(_vector(passage, idf), best)
+    return let(_terms(passage), lambda ts: let(F.filter(ts, lambda t: t.isin(sorted(idf))), lambda ks: best(ts, ks)))
 
 
-def _passages(text: Column, terms_: list[str]) -> Column:
-    """Of a text in lower case: array of (first, text), those with one of `terms_`; first: what speaks for a directory if it matches."""
-    holds = "|".join(re.escape(t) for t in terms_)
-    of = lambda parts, first=F.lit(False): F.transform(parts, lambda x: F.struct(first.alias("first"), F.trim(x).alias("text")))
+def _passages(text: Column, near) -> Column:
+    """Of a text in lower case: array of (first, line), passages that are `near` a template; first: what speaks for a directory if it matches."""
+    of = lambda parts, first=F.lit(False): F.transform(parts, lambda x: F.struct(first.alias("first"), F.trim(x).alias("line")))
     plain = F.regexp_replace(text, COMMENT, "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    sentences = lambda line: F.array_distinct(F.concat(F.array(line), F.split(line, SENTENCE_END)))
-    held = F.filter(F.transform(lines, lambda x, i: F.struct((i == 0).alias("first"), x.alias("line"))), lambda p: p["line"].rlike(holds))
-    in_lines = F.flatten(F.transform(held, lambda p: of(sentences(p["line"]), p["first"])))
+    parts = lambda line: F.concat(F.array(line), F.split(line, SENTENCE_END))
+    in_lines = F.flatten(F.transform(lines, lambda line, i: of(parts(line), i == 0)))
     blocks = F.transform(F.split(text, r"\n[\t\r ]*\n"), lambda x: F.regexp_replace(x, COMMENT, ""))
-    paragraphs = F.concat(F.split(plain, r"\n[\t\r ]*\n"), blocks)
-    found = F.concat(in_lines, of(F.filter(paragraphs, lambda x: x.rlike(holds))), of(F.array(plain)))
-    return F.when(text.rlike(holds), F.array_distinct(F.filter(found, lambda p: p["text"].rlike(holds))))
+    wider = F.concat(F.split(plain, r"\n[\t\r ]*\n"), blocks, F.array(plain))
+    return F.filter(F.array_distinct(F.concat(in_lines, of(wider))), lambda p: near(p["line"]))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", match: float = MATCH) -> DataFrame:
@@ -265,9 +263,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", match: float
     idf = weights(n_files, n_with)
     keep = [c for c in files.columns if c != text]
     lowered = files.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_file"), F.col(path).alias("_path"), F.lower(text).alias("_text"))
-    near = F.filter(_passages(F.col("_text"), heaviest(idf, match)), lambda p: _within_reach(_vector(p["text"], idf), n_files, match))
-    passages = F.transform(near, lambda p: F.struct(p["first"].alias("first"), p["text"].alias("line")))
-    numbered = lowered.withColumn("_passages", passages)
+    tells = telling(idf, match)
+    held = lambda ts: F.exists(ts, lambda t: t.isin(tells))
+    near = lambda line: let(_terms(line), lambda ts: held(ts) & _within_reach(ts, idf, n_files, match))
+    numbered = lowered.withColumn("_passages", F.when(held(_terms(F.col("_text"))), _passages(F.col("_text"), near)))
     rows = stage(numbered.select("_row", "_file", "_path", "_passages"), "license-files")
     seen = rows.select("_row", F.explode("_passages").alias("p")).select("_row", "p.first", "p.line")
     scored = seen.groupBy("line").agg(F.lit(1).alias("_")).select("line", _score(F.col("line"), idf, n_files).alias("s"))
