@@ -15,17 +15,26 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-MEMORY = 64_000_000  # bytes that all remembered pieces of a process may take
+MEMORY = 80_000_000  # bytes that all remembered pieces of a process may take
 LONGEST = 64  # code points of a piece that is remembered
-ENTRY = 200  # bytes of an entry beside its characters and ids: two objects and their place in the table
+ENTRY = 170  # bytes of an entry beside its characters and ids: two objects and their place in the table
+DOOR = 1 << 20  # places to note that a piece was met once
 
-# Texts of these characters alone are cut into runs of letters and runs of others: their lower case is
-# the same in any context, nothing in them composes, and no contraction or special token is among them.
-_ODD = re.compile(r"[^\t\n\x0b\x0c\r\x20-&(-~À-ÖØ-öø-ÿŒœ]|<\|")
+# Texts of these characters alone are lowered as a whole and cut into runs of letters and runs of others: their lower case is the same in any context, nothing in them composes, and no contraction or special
+# token is among them. Of the code page 1252, which has them all.
+_PLAIN = bytes({*b"\t\n\x0b\x0c\r", *range(0x20, 0x27), *range(0x28, 0x7F), 0x8C, 0x9C, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)})
+_LETTERS = re.compile("[a-zß-öø-ÿœ]+")
 _RUNS = re.compile(r"[a-zß-öø-ÿœ]+|[^\sa-zß-öø-ÿœ]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python only
 
 
+def plain(text: str) -> bool:
+    try:
+        return not text.encode("ascii" if text.isascii() else "cp1252").translate(None, _PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -60,25 +69,30 @@ def _byte_letters() -> list[str]:
 class _Memory(dict):
     """Pieces and their ids in two generations: when the young one is full, it becomes the old one.
 
-    What is met again while it is old becomes young, so common pieces are never forgotten.
+    What is met again while it is old becomes young, so common pieces are never forgotten. Most pieces are met
+    once: one is remembered when it is met again, of which a table of DOOR bytes keeps note.
     """
 
-    def __init__(self, ask, limit: int) -> None:
+    def __init__(self, ask) -> None:
         super().__init__()
-        self.ask, self.limit = ask, limit // 2
+        self.ask, self.limit = ask, MEMORY // 2
         self.old: dict[str, bytes] = {}
         self.size = 0
+        self.met = bytearray(DOOR)
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
             found = self.ask(piece)
-        if len(piece) <= LONGEST:
-            if self.size >= self.limit:
-                self.old, self.size = dict(self), 0
-                self.clear()
-            self[piece] = found
-            self.size += ENTRY + 2 * len(piece) + len(found)
+            place = hash(piece) & DOOR - 1
+            if not self.met[place] or len(piece) > LONGEST:
+                self.met[place] = 1
+                return found
+        if self.size >= self.limit:
+            self.old, self.size, self.met = dict(self), 0, bytearray(DOOR)
+            self.clear()
+        self[piece] = found
+        self.size += ENTRY + 2 * len(piece) + len(found)
         return found
 
 
@@ -92,25 +106,27 @@ class Encoder:
             self.apart = apart(json.load(f))
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.runs = _Memory(self._run, MEMORY // 2)
-        self.chunks = _Memory(self._whole, MEMORY // 2)
+        self.known = _Memory(self._ask)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        if not run.isalpha():
-            return self._whole(run)
-        if not run.isascii():
-            run = "".join(map(self.letters.__getitem__, run.encode()))
-        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
+    def _ask(self, piece: str) -> bytes:
+        """The ids of a piece by itself; the model is asked at once for letters that nothing would change."""
+        if _LETTERS.fullmatch(piece) is None:
+            return self._whole(piece)
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not self.apart or _SEPARATORS.search(text):
+        if not self.apart:
+            return self._whole(text)
+        if plain(text):
+            return b"".join(map(self.known.__getitem__, _RUNS.findall(text.lower())))
+        if _SEPARATORS.search(text):
             return self._whole(text)
-        if _ODD.search(text) is None:
-            return b"".join(map(self.runs.__getitem__, _RUNS.findall(text.lower())))
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 _encoders: dict[str, Encoder] = {}
