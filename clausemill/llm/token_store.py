@@ -6,8 +6,8 @@ once. A document is a recipe: its chunks' digests in order. A Merkle manifest ov
 ascending doc_id order, ends in one digest that vouches for all of them.
 
 Files (Parquet, under one folder):
-* `encoded/kind=chunk`: key, payload. A payload is a byte that gives the width of an id, 2 or 4, and the
-  zstd frame of the ids, little-endian. (`encoded/kind=recipe` is where recipes come from, unordered.)
+* `encoded`: rows of kind chunk: key, payload. A payload is a byte that gives the width of an id, 2 or 4, and the
+  zstd frame of the ids, little-endian. (Those of kind recipe are where recipes come from, unordered.)
 * `recipes/part=P`: rows in ascending doc_id order, from part to part and within one: `at`, the row's number
   in its part, `before`, the ids of the part's rows before it, doc_id, n_tokens, digests, counts, key.
 * `manifest`: level, node, digest. A leaf, a recipe's key, is the digest over its doc_id, place, counts and chunk
@@ -152,24 +152,22 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by kind and key: all recipes, and the first of equal chunks."""
-    last: pa.Scalar | None = None
+    """Of the rows of a partition, where equal chunks lie together: all recipes, and the first of equal chunks.
+
+    It keeps the names that it has met: no more than a partition has, and no order is needed.
+    """
+    met: set[bytes] = set()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(1)
-        before = pa.concat_arrays([pa.array([None if last is None else last.as_py()], key.type), key.slice(0, len(key) - 1)])
-        new = pc.fill_null(pc.not_equal(key, before), True)
-        last = key[len(key) - 1]
-        yield batch.filter(pc.or_(new, pc.equal(batch.column(0), "recipe")))
+        keys, chunk = batch.column(1).to_pylist(), pc.equal(batch.column(0), "chunk").to_pylist()
+        keep = [not c or (k not in met and not met.add(k)) for k, c in zip(keys, chunk)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write the store: one pass over the texts, one shuffle of chunks, one of recipes by range."""
     spark = docs.sparkSession
-    rows = encoded(docs, tokenizer or default_path(), end_id)
-    dealt = rows.repartition(F.xxhash64("kind", "key", F.coalesce(F.col("doc_id"), F.lit(-1)))).sortWithinPartitions("kind", "key")
-    dealt.mapInArrow(_once, _ENCODED_SQL).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/encoded")  # payloads are pressed
+    rows = encoded(docs, tokenizer or default_path(), end_id).repartition("key")
+    rows.mapInArrow(_once, _ENCODED_SQL).write.option("compression", "none").parquet(f"{path}/encoded")  # payloads are pressed
     found = spark.read.schema(_ENCODED_SQL).parquet(f"{path}/encoded").where("kind = 'recipe'").drop("kind", "payload")
     placed = found.repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "doc_id", "key")
     placed.mapInArrow(_placed, _RECIPE_SQL + ", part int").write.partitionBy("part").parquet(f"{path}/recipes")
@@ -245,7 +243,7 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema("key binary, payload binary, kind string").parquet(f"{path}/encoded").where(F.col("kind") == kind)
+    return spark.read.schema("kind string, key binary, payload binary").parquet(f"{path}/encoded").where(F.col("kind") == kind)
 
 
 def manifest(ordered: DataFrame) -> DataFrame:
