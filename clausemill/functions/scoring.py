@@ -59,12 +59,15 @@ def _indel(a: str, b: str) -> float:
     """100 * (1 - insertions and deletions / total length)."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every  # a zero for each character of the longest common subsequence so far
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def token_set_ratio_of(a: str, b: str) -> float:

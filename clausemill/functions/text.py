@@ -292,3 +292,64 @@ def clause_prompt(catalogue: Column, path: Column, text: Column, most: int = CLA
 def fingerprint(system: Column, rendered: Column) -> Column:
     """Changes with any word or order of a prompt."""
     return F.sha2(F.concat(system, F.lit("\x02"), rendered).cast("binary"), 256)
+
+
+# What a regulator's list of publications puts before a title.
+_GUIDANCE = r"^(?:Advisory Guidelines|Practical Guidance|Publications?|Templates?|Training Courses|Tools?|Guides?)?\s*\d{1,2}\s+[A-Za-z]{3,}\s+\d{4}\s+"
+
+
+def guidance_title(title: Column) -> Column:
+    """A title without the category and date before it; as it is where nothing else is left."""
+    flat = collapse(title)
+    bare = F.trim(F.regexp_replace(flat, _GUIDANCE, ""))
+    return F.when(bare != "", bare).otherwise(flat)
+
+
+def printable(text: Column, placeholder: str = "?") -> Column:
+    """For display on a terminal of ASCII only; what it can't show is replaced."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", placeholder)
+
+
+def act_core(title: Column) -> Column:
+    """What names an act: all before the word Act; empty where it has none before it."""
+    return F.when(title.rlike(r"\bAct\b"), collapse(F.regexp_replace(title, r"(?s)\bAct\b.*$", ""))).otherwise(collapse(title))
+
+
+def act_tokens(name: Column) -> Column:
+    """The numbers a name gives its act, as act709 or acta1727; a year is none."""
+    low = F.lower(name)
+    numbered = F.filter(F.regexp_extract_all(low, F.lit(r"act\s*([a-z]?\d+)"), F.lit(1)), lambda n: ~n.rlike(r"^(19|20)\d{2}$"))
+    amending = F.regexp_extract_all(low, F.lit(r"\b(a\d{3,4})\b"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(numbered, amending), lambda n: F.concat(F.lit("act"), n)))
+
+
+#: A rule of the law classifier: its law, the act tokens that name it, words that must all be there, words of which none may.
+LawRule = tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]]
+
+
+def classified(name: Column, rules: list[LawRule]) -> Column:
+    """The first rule's law that a name's act numbers or words fit; null for none. The table becomes one chain of conditions."""
+    low, found = F.lower(name), act_tokens(name)
+    chain = None
+    for law, acts, words, never in rules:
+        fits = F.arrays_overlap(found, F.array(*[F.lit(a) for a in acts])) if acts else F.lit(False)
+        if words:
+            has = F.lit(True)
+            for w in words:
+                has = has & F.contains(low, F.lit(w))
+            for w in never:
+                has = has & ~F.contains(low, F.lit(w))
+            fits = fits | has
+        chain = F.when(fits, law) if chain is None else chain.when(fits, law)
+    return F.lit(None).cast("string") if chain is None else chain
+
+
+SYNONYMS_MOST, SYNONYM_LONGEST = 12, 80
+
+
+def synonyms(content: Column) -> Column:
+    """The search terms in a model's answer ({"terms": [...]}): trimmed, each once whatever its case, at most twelve and none too long."""
+    told = F.from_json(F.get_json_object(lenient_object(content), "$.terms"), "array<string>")
+    tidy = F.filter(F.transform(F.coalesce(told, F.array().cast("array<string>")), lambda t: collapse(t)), lambda t: (t != "") & (F.length(t) <= SYNONYM_LONGEST))
+    first = F.filter(tidy, lambda t, i: F.array_position(F.transform(tidy, F.lower), F.lower(t)) == i + 1)
+    return F.slice(first, 1, SYNONYMS_MOST)

@@ -115,3 +115,119 @@ def gaps(signals: DataFrame, citations: DataFrame) -> DataFrame:
     """Indicators that a secondary source affirms and no citation covers."""
     yes = signals.where("presence = 'yes'").select("economy", "indicator").distinct()
     return yes.join(citations.select("economy", "indicator"), ["economy", "indicator"], "left_anti")
+
+
+#: Keeps or drops: takes (indicator, candidates (clause_id, text)) and gives the clause ids it keeps, or None where it failed.
+Keeper = Callable[[str, list[tuple[str, str]]], list[str] | None]
+#: Picks at most one: gives {clause_id, label, confidence}, or None.
+Picker = Callable[[str, list[tuple[str, str]]], dict | None]
+LABELS = ("match", "uncertain")
+
+
+def _asked(candidates: DataFrame, by: list[str], ask: Callable, schema: str) -> DataFrame:
+    """(by, answer) of each group's candidates (by, indicator, clause_id, text, rank), which retrieval bounds to a few."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "clause_id", "text")))
+    groups = candidates.groupBy(*by, "indicator").agg(listed.alias("_candidates"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = [_safely(ask, i, [(c["clause_id"], c["text"]) for c in cs]) for i, cs in zip(b["indicator"], b["_candidates"])]
+            yield b[[*by, "indicator"]].assign(answer=pd.Series(said, index=b.index, dtype=object))
+
+    ship(candidates.sparkSession)
+    names = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in [*by, "indicator"])
+    return groups.mapInPandas(run, f"{names}, answer {schema}")
+
+
+def _safely(ask: Callable, *args):
+    """A model that fails gives no answer; what that means is for the caller to say."""
+    try:
+        return ask(*args)
+    except Exception:  # noqa: BLE001  a backend is somebody else's program
+        return None
+
+
+def kept_each(candidates: DataFrame, keeper: Keeper, by: list[str]) -> DataFrame:
+    """The candidates that a judge keeps, cell by cell. It can only tighten: ids that aren't candidates count for nothing.
+
+    An empty answer drops all; none at all, a failure, keeps all, so that an outage removes no citation.
+    """
+    said = _asked(candidates, by, keeper, "array<string>")
+    out = candidates.join(said, [*by, "indicator"])
+    return out.where(F.col("answer").isNull() | F.array_contains("answer", F.col("clause_id"))).drop("answer")
+
+
+def picked(candidates: DataFrame, picker: Picker, by: list[str]) -> DataFrame:
+    """At most one candidate a cell, with `label` and `confidence` (0 to 1, 0.5 where it isn't a number).
+
+    A failure, another label or an id that isn't a candidate's picks none.
+    """
+
+    def ask(indicator: str, cs: list[tuple[str, str]]) -> dict | None:
+        said = picker(indicator, cs)
+        if not said:
+            return None
+        try:
+            sure = min(1.0, max(0.0, float(said.get("confidence", 0.5))))
+        except (TypeError, ValueError):
+            sure = 0.5
+        return {"clause_id": str(said.get("clause_id") or ""), "label": str(said.get("label", "")).lower(), "confidence": sure}
+
+    said = _asked(candidates, by, ask, "struct<clause_id: string, label: string, confidence: double>").where(F.col("answer.label").isin(*LABELS))
+    met = said.select(*by, "indicator", "answer.clause_id", "answer.label", "answer.confidence")
+    return candidates.join(met, [*by, "indicator", "clause_id"])
+
+
+LEAST_LAW = 400  # characters of a law's text that can be judged
+
+
+def relevant(laws: DataFrame, passes: list[Judge], by: list[str], text: str = "text") -> DataFrame:
+    """Laws (with `indicators`, what discovery attributed) with `subset`: the union of what passes over the whole text found.
+
+    Too short a text, passes that all failed and an empty union keep the attribution: a judge narrows, it doesn't invent.
+    """
+    long = laws.where(F.length(text) >= LEAST_LAW)
+    found = None
+    for k, judge in enumerate(passes):
+        one = judged(long.select(*by, text), _all_or_none(judge), None, f"pass {k}", "", text).select(*by, "verdict")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return laws.withColumn("subset", F.col("indicators"))
+    union = found.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("verdict")))).alias("_union"))
+    out = laws.join(union, by, "left")
+    return out.withColumn("subset", F.when(F.size("_union") > 0, F.col("_union")).otherwise(F.col("indicators"))).drop("_union")
+
+
+def _all_or_none(judge: Judge) -> Judge:
+    return lambda texts: _safely(judge, texts) or [None] * len(texts)
+
+
+def one_by_one(clauses: DataFrame, catalogue: DataFrame, judge: Callable[[str, list[str]], list[bool | None]], by: list[str], text: str = "text") -> DataFrame:
+    """Clauses with `verdict`, from a question for each indicator instead of one for all; null as soon as one question failed."""
+    asked = clauses.select(*by, F.col(text).alias("text")).join(catalogue.select("indicator", "query"), how="cross")  # a catalogue is tens of rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = []
+            for query, part in b.groupby("query", sort=False):
+                said = _safely(judge, query, part["text"].tolist()) or [None] * len(part)
+                parts.append(part.drop(columns=["text", "query"]).assign(said=pd.Series(said, index=part.index, dtype=object)))
+            if parts:
+                yield pd.concat(parts)
+
+    ship(clauses.sparkSession)
+    names = ", ".join(f"`{c}` {clauses.schema[c].dataType.simpleString()}" for c in by)
+    rows = asked.mapInPandas(run, f"{names}, indicator string, said boolean")
+    verdict = F.when(F.every(F.col("said").isNotNull()), F.array_sort(F.array_compact(F.collect_list(F.when(F.col("said"), F.col("indicator"))))))
+    return rows.groupBy(*by).agg(verdict.alias("verdict"))
+
+
+def judge_of(option: str | Judge | None) -> Judge | None:
+    """A judge by option: none, "rules" (the boundary rules alone decide) or a function; one that breaks gives no verdicts, never an error."""
+    if option is None or option == "none":
+        return None
+    if option == "rules":
+        return lambda texts: [[] for _ in texts]
+    if not callable(option):
+        raise ValueError(f"a judge is none, rules or a function, not {option!r}")
+    return _all_or_none(option)

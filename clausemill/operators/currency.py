@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import candidate_keys, collapse
 
 # Where an instrument says what it amends and up to when it has been amended.
 YEAR = r"(1[6-9]\d{2}|20\d{2})"
@@ -129,15 +129,15 @@ def adjudicated(citations: DataFrame, ops: DataFrame) -> DataFrame:
 
     A deletion goes before an amendment, that before none; without a section there is no verdict.
     """
-    target = ops.where("target_section <> ''").select("key", F.col("target_section").alias("section"), "op", "raw", "ord")
-    met = citations.join(target, ["key", "section"], "left").groupBy("citation", "key", "section", "commenced")
     texts = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "raw")))), lambda x: x["raw"]), "; ")
-    flags = met.agg(
-        F.coalesce(F.bool_or(F.col("op") == "delete"), F.lit(False)).alias("gone"),
-        F.coalesce(F.bool_or(F.col("op").isin("amend", "substitute", "insert")), F.lit(False)).alias("changed"),
+    # a section's instructions are one row before citations meet them, however many cite it
+    by_section = ops.where("target_section <> ''").groupBy("key", F.col("target_section").alias("section")).agg(
+        F.bool_or(F.col("op") == "delete").alias("gone"),
+        F.bool_or(F.col("op").isin("amend", "substitute", "insert")).alias("changed"),
         texts(F.col("op") == "delete").alias("gone_text"),
         texts(F.col("op").isNotNull()).alias("all_text"),
     )
+    flags = citations.join(by_section, ["key", "section"], "left").na.fill(False, ["gone", "changed"])
     status = (
         F.when(F.col("section") == "", F.lit(None)).when(F.col("gone") & F.col("commenced"), "REPEALED").when(F.col("gone"), "STALE_RISK")
         .when(F.col("changed"), "AMENDED").otherwise("CURRENT")
@@ -146,6 +146,59 @@ def adjudicated(citations: DataFrame, ops: DataFrame) -> DataFrame:
     return flags.select("citation", "key", "section", status.alias("status"), text.alias("amendment_text"))
 
 
+def renamed(citations: DataFrame, ops: DataFrame, label: Column) -> DataFrame:
+    """Citations (citation, key, quote) with `rename_note`: the first of their law's renames whose old term the quote has, case aside.
+
+    A law's renames are few; they travel to its citations as one row.
+    """
+    note = F.concat(F.lit('term "'), F.col("old_term"), F.lit('" renamed to "'), F.col("new_term"), F.lit('" by '), label)
+    renames = ops.where("kind = 'GLOBAL_RENAME' and old_term <> ''").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("ord", F.lower("old_term").alias("old"), note.alias("note")))).alias("_renames")
+    )
+    out = citations.join(renames, "key", "left")
+    held = F.filter("_renames", lambda r: F.contains(F.lower(F.coalesce("quote", F.lit(""))), r["old"]))
+    return out.withColumn("rename_note", F.coalesce(F.get(held, 0)["note"], F.lit(""))).drop("_renames")
+
+
+def principals(documents: DataFrame) -> DataFrame:
+    """What amending documents amend: (amending_id, key, principal_id, commenced), from documents (document_id, number, title, text).
+
+    An amending document names its principal in its own masthead; documents meet by any of the keys that either has.
+    `principal_id` is null where the principal isn't among them.
+    """
+    text = F.col("text")
+    named = documents.withColumn("_kind", version_kind(text)).withColumn("_target", amends_target(text))
+    amending = named.where("_kind = 'AMENDMENT_DELTA' and _target is not null").select(
+        F.col("document_id").alias("amending_id"), F.explode(candidate_keys(F.col("_target.number"), F.col("_target.title"))).alias("key"), commenced(text).alias("commenced")
+    )
+    own = named.where("_kind <> 'AMENDMENT_DELTA'").select(F.col("document_id").alias("principal_id"), F.explode(candidate_keys(F.col("number"), F.col("title"))).alias("key"))
+    return amending.join(own, "key", "left").select("amending_id", "key", "principal_id", "commenced")
+
+
+def affected(ops: DataFrame) -> DataFrame:
+    """By key: the sections that instructions touch, in order, and whether any renames a term throughout."""
+    return ops.groupBy("key").agg(
+        F.array_sort(F.array_compact(F.collect_set(F.when(F.col("target_section") != "", F.col("target_section"))))).alias("sections"),
+        F.bool_or(F.col("kind") == "GLOBAL_RENAME").alias("renames"),
+    )
+
+
+def verified_instructions(told: DataFrame, parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """A model's instructions (key, ord, kind, op, target_section, old_term, new_term, raw) that its source bears out; the parsed ones where none is left.
+
+    `texts` is (key, text). Evidence must stand in the text; an operation on a section must name one; a deletion, which removes
+    a citation, must quote its section.
+    """
+    flat = collapse(F.lower(F.col("text")))
+    met = told.join(texts.select("key", flat.alias("_text")), "key")
+    quoted = F.contains("_text", collapse(F.lower(F.col("raw")))) & (F.trim("raw") != "")
+    section = F.col("target_section")
+    named = (F.col("kind") == "GLOBAL_RENAME") | (section != "")
+    proven = (F.col("op") != "delete") | F.rlike(F.lower("raw"), F.concat(F.lit(r"section\s+"), F.lower(section), F.lit(r"\b")))
+    good = met.where(quoted & named & proven).drop("_text")
+    return good.select(*parsed.columns).unionByName(parsed.join(good.select("key").distinct(), "key", "left_anti").select(*parsed.columns))
+
+
 def events_for(citations: DataFrame, events: DataFrame) -> DataFrame:
     """Events (citation, year, amending_id) that any of a citation's keys (array `keys`) refers to, once each."""
     asked = citations.select("citation", F.explode(F.array_distinct("keys")).alias("key"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
+
 
 def amending_acts(versions: DataFrame, limit: int = 40) -> DataFrame:
     """Acts that amended a title, from versions (title_id, version_ord, reasons array<struct<affect, act_id, act_title, year>>).
@@ -81,7 +83,7 @@ def strategy_for(portals: DataFrame, strategies: DataFrame, host: str = "host")
 
     Strategies are a short list that a build ships with.
     """
-    met = portals.join(F.broadcast(strategies), F.contains(F.lower(host), F.lower("needle")), "left")
+    met = portals.join(small(strategies), F.contains(F.lower(host), F.lower("needle")), "left")
     first = F.min_by("strategy", F.when(F.col("needle").isNotNull(), F.col("ord")))
     return met.groupBy(*portals.columns).agg(first.alias("strategy"))
 

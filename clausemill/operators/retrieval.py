@@ -6,11 +6,19 @@ Query terms are a small dimension (a catalogue has tens of indicators) and Spark
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import normalised
 from ..functions.text import tokens
+from ..session import ship, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -49,21 +57,19 @@ def line_clauses(docs: DataFrame, corpus: str, doc: str = "doc_id", text: str =
 
 
 def bm25(clauses: DataFrame, queries: DataFrame, clause_keys: list[str], text: str = "text") -> DataFrame:
-    """Scores (corpus, *clause_keys, indicator, score) of clauses that share a term with a query.
+    """Scores (corpus, *clause_keys, indicator, score, n_terms: of the query, that the clause has) of clauses that share a term with a query.
 
     `clauses` has `corpus`, the keys and the text; `queries` has `indicator` and `query`. Each corpus has
     its own counts. Terms in more than half of a corpus get EPSILON of the corpus' mean idf, the mean
     being over all its terms.
     """
     words = clauses.select("corpus", *clause_keys, tokens(F.col(text)).alias("ts"))
-    sizes = words.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    # a clause is one row, so its distinct terms are counted without moving it: the shuffle has a row a term
-    df = (
-        words.select("corpus", F.explode(F.array_distinct("ts")).alias("term"))
-        .groupBy("corpus", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .join(sizes, "corpus")
-    )
+    # one pass counts all: a row for each distinct term of a clause, and under the empty term one with its length;
+    # these are summed where they lie, so what moves is a row a term, and the vocabulary is written once for its three uses
+    counted = words.select("corpus", F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("term"))
+    counted = counted.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length"))
+    counted = stage(counted, "bm25-terms")
+    sizes = counted.where("term = ''").select("corpus", F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     asked = queries.select("indicator", F.explode(tokens(F.col("query"))).alias("term")).groupBy("indicator", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct()
     per_clause = (
@@ -72,7 +78,7 @@ def bm25(clauses: DataFrame, queries: DataFrame, clause_keys: list[str], text: s
         .groupBy("corpus", *clause_keys, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = counted.where("term <> ''").join(sizes, "corpus").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("corpus").agg(F.avg("raw").alias("mean_idf"))
     idf = raw.join(wanted, "term", "left_semi").join(mean, "corpus").select(
         "corpus", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
@@ -83,7 +89,7 @@ def bm25(clauses: DataFrame, queries: DataFrame, clause_keys: list[str], text: s
         per_clause.join(idf, ["corpus", "term"])
         .join(asked, "term")
         .groupBy("corpus", *clause_keys, "indicator")
-        .agg(F.sum(part).alias("score"))
+        .agg(F.sum(part).alias("score"), F.count(F.lit(1)).cast("int").alias("n_terms"))
     )
 
 
@@ -127,3 +133,78 @@ def above_floor(hits: DataFrame, by: list[str], min_score: float, rel_floor: flo
 def pool(hits: DataFrame, by: list[str]) -> DataFrame:
     """Every clause that any indicator ranked, with its best score."""
     return hits.groupBy(*by).agg(F.max("score").alias("score"))
+
+
+def pool_floor(hits: DataFrame, by: list[str], floor: float) -> DataFrame:
+    """What a floor on the pool's normalised scores costs each corpus: pairs, those rejected, and clauses that no indicator keeps (`shut_out`).
+
+    `hits` has corpus, the other columns of `by`, which name a clause, and `score`; a clause's best score decides it, so it is met once.
+    """
+    norm = F.round(normalised(F.col("score")), 6)
+    clauses = hits.withColumn("norm", norm).groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("norm") < floor).alias("rejected"), F.max("norm").alias("best"))
+    return clauses.groupBy("corpus").agg(F.sum("pairs").alias("pairs"), F.sum("rejected").alias("rejected"), F.count_if(F.col("best") < floor).alias("shut_out"))
+
+
+#: Scores texts for a query, the better the higher.
+Scorer = Callable[[str, list[str]], list[float]]
+#: Turns texts into vectors of one length.
+Encoder = Callable[[list[str]], list[list[float]]]
+_held: dict[str, object] = {}
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in a Python process: for models, which are slow to load."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def reranked(hits: DataFrame, scorer: Callable[[], Scorer], by: list[str], order: list[str], top: int, pool: int = 20, blend: bool = True) -> DataFrame:
+    """The best `top` of hits (by, query, text, score) by a scorer that reads query and text together.
+
+    Its pool is the max(pool, top) best by `score`, so that it never gives fewer than asked for; `blend` fuses its ranking with the
+    one by score; `score` stays what it was, for the gates that follow.
+    """
+    first = top_k(hits, by, [F.col("score").desc(), *order], max(pool, top)).withColumnRenamed("rank", "rank_0")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = scorer()
+        for b in batches:
+            out = pd.Series(0.0, index=b.index)
+            for query, part in b.groupby("query", sort=False):
+                out[part.index] = score(query, part["text"].tolist())
+            yield b.assign(_second=out)
+
+    ship(hits.sparkSession)
+    scored = first.mapInPandas(run, T.StructType([*first.schema.fields, T.StructField("_second", T.DoubleType())]))
+    second = ranked(scored, by, [F.col("_second").desc(), F.col("rank_0")], "rank_1")
+    fusion = 1.0 / (60 + F.col("rank_0")) + 1.0 / (60 + F.col("rank_1"))
+    final = [fusion.desc(), F.col("rank_0")] if blend else [F.col("rank_1")]
+    return top_k(second, by, final, top).drop("_second")
+
+
+def encoded(texts: DataFrame, encoder: Callable[[], Encoder], text: str = "text", into: str = "vector") -> DataFrame:
+    """`texts` with a vector of length one for each text (zeros for an empty one); the encoder is built once in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder()
+        for b in batches:
+            v = np.asarray(encode([t or "" for t in b[text]]), dtype=np.float32).reshape(len(b), -1)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            yield b.assign(**{into: list(v)})
+
+    ship(texts.sparkSession)
+    return texts.mapInPandas(run, T.StructType([*texts.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))]))
+
+
+def hashed_words(n: int = 512) -> Encoder:
+    """An encoder without a model: words counted by hash."""
+
+    def encode(batch: list[str]) -> list[list[float]]:
+        out = np.zeros((len(batch), n))
+        for row, t in zip(out, batch):
+            for w in re.findall("[a-z0-9]+", t.lower()):
+                row[zlib.crc32(w.encode()) % n] += 1
+        return out.tolist()
+
+    return encode

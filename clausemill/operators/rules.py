@@ -167,3 +167,40 @@ def or_whole(df: DataFrame, condition: Column) -> DataFrame:
 def after_floor(year: Column, floor: Column) -> Column:
     """Unknown years and unknown floors let a candidate through."""
     return ~(F.coalesce(floor.isNotNull() & year.isNotNull() & (year <= floor), F.lit(False)))
+
+
+def web_address(url: Column) -> Column:
+    return F.lower(F.trim(url)).rlike("^https?://")
+
+
+def answered(status: Column, text: Column) -> Column:
+    """Whether a fetch gave a text: a status of success, and something in it."""
+    return F.coalesce(status.between(200, 299) & (F.length(text) > 0), F.lit(False))
+
+
+# How trade agreements are named; they bind states and are no law to cite.
+AGREEMENT = ("agreement", "partnership", "cptpp", "rcep", "aanzfta", "depa", "ksdpa", "free trade", "cbpr")
+# Indicators that only a law about data can carry; the others almost any statute might.
+FRAMEWORK = ("P6-I1", "P6-I2", "P6-I3", "P6-I4", "P7-I1", "P7-I2", "P7-I4")
+# Marks of another jurisdiction's law, and names that name nothing.
+FOREIGN = r"(?i)\(EU\)|European|\bGDPR\b|Maltese|British|United Kingdom"
+JUNK = ("act", "the act", "amendment act", "privacy act amendment act")
+LEAST_NAME = 8
+
+
+def trade_agreement(name: Column) -> Column:
+    return has_any(F.lower(name), AGREEMENT)
+
+
+def horizontal_only(hits: Column, framework: tuple[str, ...] = FRAMEWORK) -> Column:
+    """Whether a law's hits are of horizontal duties alone, so that its contents decide."""
+    return F.coalesce((F.size(hits) > 0) & ~F.arrays_overlap(hits, F.array(*[F.lit(x) for x in framework])), F.lit(False))
+
+
+def tidy_names(names: DataFrame, by: list[str], name: str = "name", order: str = "ord") -> DataFrame:
+    """Laws' names without lead-ins, junk and other jurisdictions' laws, each once whatever its case: the first spelling."""
+    bare = names.withColumn(name, F.trim(F.regexp_replace(F.trim(name), r"(?i)^(the|a|via|under|and)\s+", "")))
+    low = F.lower(F.col(name))
+    kept = bare.where((F.length(name) >= LEAST_NAME) & ~low.isin(*JUNK) & ~F.col(name).rlike(FOREIGN))
+    first = kept.groupBy(*by, low.alias("_low")).agg(F.min(F.struct(order, name)).alias("f"))
+    return first.select(*by, F.col(f"f.`{name}`").alias(name), F.col(f"f.`{order}`").alias(order))

@@ -71,3 +71,23 @@ def replayed(requests: DataFrame, recorded: DataFrame, key: str = "key") -> Data
     r = recorded.select(key, F.col("status").alias("_status"))
     out = requests.join(r, key, "left")
     return out.withColumn("status", F.coalesce("_status", F.lit(504))).withColumn("miss", F.col("_status").isNull()).drop("_status")
+
+
+def body_watch(chunks: DataFrame, by: list[str], t: str, order: list[str], total: float = 7200.0, idle: float = 180.0) -> DataFrame:
+    """Bodies that arrive in chunks: `outcome` (DONE, IDLE or DEADLINE), when the watch cut it, and the chunks until then.
+
+    Silence of `idle` seconds cuts a body, and so does one that takes more than `total` in all; whichever comes first.
+    """
+    w = Window.partitionBy(*by).orderBy(t, *order)
+    first = F.min(t).over(Window.partitionBy(*by))
+    before = F.coalesce(F.lag(t).over(w), F.col(t))
+    seen = chunks.select(*by, t, *order, first.alias("_first"), before.alias("_before"))
+    silent = F.when(F.col(t) - F.col("_before") > idle, F.col("_before") + idle)
+    late = F.when(F.col(t) - F.col("_first") > total, F.col("_first") + total)
+    # a chunk was read if neither had cut by then: the first silence is known in order, the deadline from the start
+    quiet = F.min(silent).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = seen.withColumn("_silent", silent).withColumn("_late", late).withColumn("_read", quiet.isNull() & late.isNull())
+    whole = rows.groupBy(*by).agg(F.min("_silent").alias("_silent"), F.min("_late").alias("_late"), F.count_if("_read").alias("chunks"))
+    cut = F.least("_silent", "_late")
+    outcome = F.when(cut.isNull(), "DONE").when(cut == F.col("_silent"), "IDLE").otherwise("DEADLINE")
+    return whole.select(*by, outcome.alias("outcome"), cut.alias("cut_at"), "chunks")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, lanes, relational, retrieval, verbs
+from . import documents, judges, lanes, relational, retrieval, steps, verbs
 
-MODULES = (retrieval, documents, relational, lanes, verbs)
+MODULES = (retrieval, documents, relational, lanes, verbs, steps, judges)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def context_window_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_talk_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "conversations").withColumn("note", F.concat(F.substring("text", 1, 60), F.when(F.col("turn") % 2 == 0, ". The score is 0.9. It applies").otherwise("")))
+    c = read(spark, sf, "conversations").withColumn("note", F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, ". The score is 0.9. It applies").otherwise("")))
     return c.select("conv_id", "turn", X.strip_score_talk(F.col("note")).alias("note"))
 
 
@@ -193,9 +193,19 @@ def carry_forward_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeral_folding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("13", "13"), ("十三", "13"), ("二十四", "24"), ("一百零五", "105"), ("๑๒", "12"), ("３４", "34"), ("x", "")]
-    values = ", ".join(f"('{a}', '{b}')" for a, b in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(raw, want)").select("raw", X.numeral(F.col("raw")).alias("number"))
+    """Numbers up to 999 written in four scripts by turns, and every fifth no number, folded back."""
+    n = F.col("p_partkey") % 999 + 1
+    digits = n.cast("string")
+    of = lambda d: F.translate(d.cast("string"), "0123456789", "零一二三四五六七八九")
+    hundreds, tens, ones = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+    chinese = F.concat(
+        F.when(hundreds > 0, F.concat(of(hundreds), F.lit("百"))).otherwise(""),
+        F.when(tens > 0, F.concat(of(tens), F.lit("十"))).when((hundreds > 0) & (ones > 0), "零").otherwise(""),
+        F.when(ones > 0, of(ones)).otherwise(""),
+    )
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, digits).when(k == 1, F.translate(digits, "0123456789", "０１２３４５６７８９")).when(k == 2, F.translate(digits, "0123456789", "๐๑๒๓๔๕๖๗๘๙")).when(k == 3, chinese).otherwise(F.col("p_name"))
+    return read(spark, sf, "part").select("p_partkey", X.numeral(raw).alias("number"))
 
 
 def instrument_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,7 +299,7 @@ g AS (SELECT k, id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o ||
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM (SELECT DISTINCT * FROM g WHERE k = 'd' AND g IS NOT NULL) AS d JOIN (SELECT DISTINCT * FROM g WHERE k = 'b' AND g IS NOT NULL) AS b USING (g) GROUP BY ALL""",
     "context_window_slice": """WITH q AS (SELECT doc_id, text, string_split(text, ' ')[-1] AS quote FROM documents), p AS (SELECT *, strpos(text, quote) AS p FROM q)
 SELECT doc_id, md5(CASE WHEN length(quote) > 0 THEN substring(text, greatest(p - 30, 1), p - greatest(p - 30, 1) + length(quote) + 30) ELSE '' END) AS context FROM p""",
-    "score_talk_redaction": r"""WITH c AS (SELECT conv_id, turn, substring(text, 1, 60) || CASE WHEN turn % 2 = 0 THEN '. The score is 0.9. It applies' ELSE '' END AS note FROM conversations)
+    "score_talk_redaction": r"""WITH c AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN '. The score is 0.9. It applies' ELSE '' END AS note FROM conversations)
 SELECT conv_id, turn, trim(array_to_string(list_filter(regexp_extract_all(note, '[^.!?]+[.!?]?'), lambda s: NOT regexp_matches(s, '(?i)\bscor(?:e|es|ed|ing)\b')), '')) AS note FROM c""",
     "notes_concat": "SELECT conv_id, turn, concat_ws(' | ', CASE WHEN turn = 0 THEN 'first' END, 'by ' || role) AS notes FROM conversations",
     "section_index_concat": "WITH w AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS whole FROM conversations GROUP BY 1) SELECT conv_id, CAST(length(whole) AS INTEGER) AS n_chars, substring(whole, 1, 130) AS heading FROM w",
@@ -300,7 +310,7 @@ z AS (SELECT conv_id, seg_no, a, a + n AS b, a = max(a) OVER (PARTITION BY conv_
 p AS (SELECT DISTINCT conv_id, unnest([a, a + 7, b, b + 1]) AS x FROM z)
 SELECT conv_id, CAST(x AS INTEGER) AS char_start, coalesce((SELECT max(seg_no) FROM z WHERE z.conv_id = p.conv_id AND x >= a AND (x < b OR (x = b AND last))), -1) AS seg_no FROM p""",
     "carry_forward_state": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substring(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS asked FROM conversations",
-    "numeral_folding": "SELECT * FROM (VALUES ('13', '13'), ('十三', '13'), ('二十四', '24'), ('一百零五', '105'), ('๑๒', '12'), ('３４', '34'), ('x', '')) AS t(raw, number)",
+    "numeral_folding": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE CAST(p_partkey % 999 + 1 AS VARCHAR) END AS number FROM part",
     "instrument_keys": """SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 3 <> 0 THEN 'act:' || s_suppkey END, 'title:data act ' || (s_suppkey % 9 + 2010)) AS keys,
 CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_suppkey || 'A' END AS section, 'Data (Amendment) Act|Data Amendment' AS queries, 'Act 709' AS act FROM supplier""",
     "submission_projection": """SELECT upper(lang) AS "Economy", source AS "Law Name", '' AS "Law Number / Ref", '' AS "Last Amended", 'P6-I1' AS "Indicator ID", 'Section ' || doc_id AS "Article / Section",

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import citations, currency, discovery, retrieval, rules, structure
+from ..operators import citations, currency, discovery, evaluation, retrieval, rules, structure
+from ..session import shared_dir
 from ..sources import html, sinks
 from ..streaming import events as streams
-from .retrieval import _BM25, _scored, read
+from .retrieval import _BM25, _scored, _texts_of, quoted, read
 
 
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,13 +40,10 @@ def statute_clauses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def statute_verbatim(spark: SparkSession, sf: str) -> DataFrame:
-    s = _statutes(spark, sf)
-    c = structure.parse(s).join(s.withColumnRenamed("text", "whole"), "document_id")
-    ok = F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")
-    return c.agg(
-        F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(ok) / F.count(F.lit(1)), 1).alias("verbatim"),
-        F.round(100.0 * F.count_distinct("clause_id") / F.count(F.lit(1)), 1).alias("unique"),
-    )
+    """Clauses, held against texts read anew: how many quote them word for word, and how many have an id of their own."""
+    found = evaluation.intrinsic(structure.parse(_statutes(spark, sf)), _statutes(spark, sf))
+    share = lambda c: F.round(F.sum(F.col(c) * F.col("clauses")) / F.sum("clauses"), 1)
+    return found.agg(F.sum("clauses").alias("n"), share("verbatim").alias("verbatim"), share("unique").alias("unique"))
 
 
 def _by_length(texts: list[str]) -> list[list[str] | None]:
@@ -55,15 +51,14 @@ def _by_length(texts: list[str]) -> list[list[str] | None]:
     return [None if len(t) % 13 == 0 else [f"I{k}" for k in (1, 2, 3) if len(t) % (k + 2) == 0] for t in texts]
 
 
-def _lane_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    clauses, scores = _scored(spark, sf)
-    keys = ["corpus", "doc_id", "line_no"]
-    top = retrieval.top_k(scores.withColumn("score", F.round("score", 6)), ["corpus", "indicator"], [F.col("score").desc(), F.col("doc_id"), F.col("line_no")], 40)
-    return clauses, top.drop("rank").join(clauses.select(*keys, "text"), keys)
+def _lane_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The 40 best clauses of each source for each indicator, with their texts."""
+    top = retrieval.top_k(_scored(spark, sf), ["corpus", "indicator"], [F.col("score").desc(), F.col("doc_id"), F.col("line_no")], 40)
+    return _texts_of(spark, sf, top.drop("rank", "opening")).withColumn("text", quoted()).drop("whole", "char_start", "char_end")
 
 
 def judged_lane(spark: SparkSession, sf: str) -> DataFrame:
-    _, hits = _lane_inputs(spark, sf)
+    hits = _lane_inputs(spark, sf)
     by = ["corpus", "doc_id", "line_no"]
     pool = hits.select(*by, "text").distinct()
     verdicts = citations.judged(pool, _by_length, None, "m", "f")
@@ -71,7 +66,7 @@ def judged_lane(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranking_lane(spark: SparkSession, sf: str) -> DataFrame:
-    _, hits = _lane_inputs(spark, sf)
+    hits = _lane_inputs(spark, sf)
     ordered = hits.withColumn("ord", F.struct("doc_id", "line_no"))
     out = citations.ranking_lane(ordered, ["corpus", "indicator"], 0.01, 0.6, 3)
     return out.select("corpus", "indicator", "doc_id", "line_no", "rank", F.round("norm", 6).alias("norm"))
@@ -88,14 +83,14 @@ def review_statuses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def known_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names against the names of a few known ones, by token sets."""
-    parts = read(spark, sf, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
-    known = read(spark, sf, "part").where("p_partkey < 8").select(F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("name"))
+    """All parts, by name and type, against the names that one brand knows, by token sets."""
+    parts = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"))
+    known = read(spark, sf, "part").where("p_brand = 'Brand#2'").groupBy(F.concat(F.lit("the "), F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("ord"))
     return discovery.tagged(parts, known).select("id", F.round("ratio", 6).alias("ratio"), F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("matched", F.lit("")).alias("matched"))
 
 
 def _amending(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").where("o_orderkey < 200")
+    o = read(spark, sf, "orders")
     n = F.col("o_orderkey").cast("string")
     text = F.concat(
         F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("An Act to amend the Data Act "), (1990 + F.col("o_orderkey") % 30).cast("string"), F.lit(". "))).otherwise("An Act about data. "),
@@ -126,7 +121,7 @@ def json_sidecar(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """The tumbling counts by a stream that is run to its end."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp()).as_uri()).rstrip("/")
+    shared = shared_dir(spark)
     name = f"tumbling_{uuid.uuid4().hex}"
     found = read(spark, sf, "events")
     found.write.parquet(f"{shared}/{name}-events")  # a stream reads a folder
@@ -158,11 +153,11 @@ x AS (SELECT *, first_value(norm) OVER (PARTITION BY corpus, indicator ORDER BY
 SELECT corpus, indicator, doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(rank AS INTEGER) AS rank, round(norm, 6) AS norm FROM x WHERE place = 1 OR norm >= CAST(0.6 AS DOUBLE) * best""",
     "review_statuses": """SELECT CASE WHEN doc_id % 17 = 0 THEN 'NO_PRIMARY_SOURCE_FOUND' WHEN doc_id % 4 = 0 THEN 'LOW_OCR_CONFIDENCE' WHEN doc_id % 10 = 0 THEN 'X' WHEN doc_id % 6 = 0 THEN 'CONFLICT_REVIEW' ELSE 'VERIFIED' END AS review_status, count(*) AS n
 FROM documents GROUP BY 1 HAVING review_status <> 'X'""",
-    "amendment_instructions": """WITH o AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey < 200)
+    "amendment_instructions": """WITH o AS (SELECT o_orderkey AS key FROM orders)
 SELECT key, 0 AS ord, 'SECTION_OP' AS kind, CASE WHEN key % 2 <> 0 THEN 'amend' WHEN key % 5 = 0 THEN 'substitute' ELSE 'delete' END AS op, CAST(key AS VARCHAR) AS target_section FROM o
 UNION ALL SELECT key, 1, 'SECTION_OP', 'delete', '9A' FROM o UNION ALL SELECT key, 2, 'SECTION_OP', 'insert', '7' FROM o""",
     "version_kinds": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'AMENDMENT_DELTA' WHEN o_orderkey % 4 = 0 THEN 'CONSOLIDATED' ELSE 'ORIGINAL' END AS kind, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2000 + o_orderkey % 20 ELSE 0 END AS INTEGER) AS year,
-CASE WHEN o_orderkey % 3 = 0 THEN 'Data Act ' || (1990 + o_orderkey % 30) ELSE '' END AS target FROM orders WHERE o_orderkey < 200""",
+CASE WHEN o_orderkey % 3 = 0 THEN 'Data Act ' || (1990 + o_orderkey % 30) ELSE '' END AS target FROM orders""",
     "json_sidecar": "WITH q AS (SELECT doc_id, text, substring(text, 10, 20) AS quote FROM documents), p AS (SELECT *, strpos(text, quote) AS p FROM q) SELECT doc_id, md5(CASE WHEN length(quote) > 0 THEN substring(text, greatest(p - 5, 1), p - greatest(p - 5, 1) + length(quote) + 5) ELSE '' END) AS context FROM p",
     "streamed_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -66,7 +66,7 @@ def amendment_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _instruments(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "customer").where("c_custkey <= 120")
+    c = read(spark, sf, "customer")
     return c.select(F.col("c_custkey").cast("long").alias("key"), F.when(F.col("c_custkey") % 4 != 0, (2000 + F.col("c_custkey") % 25).cast("int")).alias("cutoff"))
 
 
@@ -84,13 +84,13 @@ def currency_status_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def adjudicate_precedence(spark: SparkSession, sf: str) -> DataFrame:
     x = read(spark, sf, "lineitem")
-    ops = x.where("l_linenumber <= 3 and l_shipdate < timestamp '1996-03-01'").select(
-        (F.col("l_orderkey") % 40).alias("key"), (F.col("l_partkey") % 60).cast("string").alias("target_section"),
+    ops = x.select(
+        (F.col("l_orderkey") % 50).alias("key"), (F.col("l_partkey") % 2000).cast("string").alias("target_section"),
         F.when(F.col("l_returnflag") == "R", "delete").when(F.col("l_returnflag") == "A", "amend").otherwise("insert").alias("op"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("raw"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     )
     cites = read(spark, sf, "customer").select(
-        F.col("c_custkey").alias("citation"), (F.col("c_custkey") % 50).alias("key"), F.when(F.col("c_custkey") % 9 == 0, "").otherwise((F.col("c_custkey") % 70).cast("string")).alias("section"),
+        F.col("c_custkey").alias("citation"), (F.col("c_custkey") % 50).alias("key"), F.when(F.col("c_custkey") % 9 == 0, "").otherwise((F.col("c_custkey") % 2500).cast("string")).alias("section"),
         (F.col("c_custkey") % 2 == 0).alias("commenced"),
     )
     return currency.adjudicated(cites, ops).select("citation", "key", "section", F.coalesce("status", F.lit("")).alias("status"), F.md5(F.col("amendment_text").cast("binary")).alias("text_md5"))
@@ -123,7 +123,7 @@ def degrade_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def stall_intervals(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
-    return telemetry.stalls(e, ["event_type"], "ts", ["event_id"], 1500).select("event_id", "gap", "reports")
+    return telemetry.stalls(e, ["user_id"], "ts", ["event_id"], 1500).select("event_id", "gap", "reports")
 
 
 def _ticks(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,10 +170,10 @@ def replay_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cost_ledger_nullable(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 10).alias("run"), F.col("event_id"))
+    e = read(spark, sf, "events").select(F.col("event_type").alias("model"), F.floor(F.col("event_id") / 5).alias("run"), F.col("event_id"))
     rates = spark.sql("SELECT * FROM VALUES ('click', 2.0D, 0.5D, 8.0D), ('view', 1.0D, 0.1D, 4.0D), ('error', 1.0D, 1.0D, 1.0D), ('signup', 3.0D, 1.0D, 9.0D) AS t(model, a, b, c)")
     price = scoring.cost(F.col("event_id") % 1000, F.col("event_id") % 1500, F.col("event_id") % 100, F.col("a"), F.col("b"), F.col("c"))
-    return reports.priced(e.where("model <> 'purchase' or run < 5"), rates, "model", price, ["run"]).withColumn("cost", F.coalesce("cost", F.lit(-1.0)))
+    return reports.priced(e, rates, "model", price, ["run"]).withColumn("cost", F.coalesce("cost", F.lit(-1.0)))
 
 
 def confusion_micro(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +250,7 @@ _CHAIN = """WITH e AS (SELECT user_id % 100 AS key, CAST(2000 + event_id % 25 AS
   CASE event_type WHEN 'view' THEN 'corpus' WHEN 'signup' THEN 'portal' ELSE 'registry' END AS detected_by, CASE event_type WHEN 'view' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS r, event_id FROM events),
 o AS (SELECT key, year, amending_id, (list(detected_by ORDER BY r, event_id))[1] AS detected_by FROM e GROUP BY 1, 2, 3),
 c AS (SELECT * FROM o QUALIFY amending_id <> '' OR NOT bool_or(amending_id <> '') OVER (PARTITION BY key, year))"""
-_ASOF = _CHAIN + """, i AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 4 <> 0 THEN CAST(2000 + c_custkey % 25 AS INTEGER) END AS cutoff FROM customer WHERE c_custkey <= 120),
+_ASOF = _CHAIN + """, i AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 4 <> 0 THEN CAST(2000 + c_custkey % 25 AS INTEGER) END AS cutoff FROM customer),
 m AS (SELECT i.key, coalesce(cutoff, -1) AS cutoff, count(year) AS n_events, count(*) FILTER (year > coalesce(cutoff, -1)) AS n_missed,
   coalesce(string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FILTER (year > coalesce(cutoff, -1)), '') AS missed_years FROM i LEFT JOIN c ON c.key = i.key GROUP BY 1, 2),
 a AS (SELECT *, CASE WHEN n_missed > 0 THEN 'STALE_RISK' WHEN n_events > 0 THEN 'CURRENT' ELSE 'UNKNOWN' END AS status FROM m)"""
@@ -270,9 +270,9 @@ bool_or(o_orderstatus = 'F') AS known, coalesce((list(o_orderpriority ORDER BY o
     "asof_missing_events": f"{_ASOF} SELECT key, cutoff, n_events, n_missed, missed_years, status FROM a",
     "currency_status_rollup": f"""{_ASOF}, s AS (SELECT 'e' || (key % 3) AS economy, status FROM a)
 SELECT economy, status, count(*) AS n FROM s GROUP BY 1, 2 UNION ALL SELECT economy, 'all', count(*) FROM s GROUP BY 1 UNION ALL SELECT 'all', 'all', count(*) FROM s""",
-    "adjudicate_precedence": """WITH o AS (SELECT l_orderkey % 40 AS key, CAST(l_partkey % 60 AS VARCHAR) AS section, CASE l_returnflag WHEN 'R' THEN 'delete' WHEN 'A' THEN 'amend' ELSE 'insert' END AS op, l_orderkey || '-' || l_linenumber AS raw, l_orderkey * 10 + l_linenumber AS ord
-  FROM lineitem WHERE l_linenumber <= 3 AND l_shipdate < TIMESTAMP '1996-03-01'),
-c AS (SELECT c_custkey AS citation, c_custkey % 50 AS key, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE CAST(c_custkey % 70 AS VARCHAR) END AS section, c_custkey % 2 = 0 AS commenced FROM customer),
+    "adjudicate_precedence": """WITH o AS (SELECT l_orderkey % 50 AS key, CAST(l_partkey % 2000 AS VARCHAR) AS section, CASE l_returnflag WHEN 'R' THEN 'delete' WHEN 'A' THEN 'amend' ELSE 'insert' END AS op, l_orderkey || '-' || l_linenumber AS raw, l_orderkey * 10 + l_linenumber AS ord
+  FROM lineitem),
+c AS (SELECT c_custkey AS citation, c_custkey % 50 AS key, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE CAST(c_custkey % 2500 AS VARCHAR) END AS section, c_custkey % 2 = 0 AS commenced FROM customer),
 f AS (SELECT citation, c.key, c.section, commenced, coalesce(bool_or(op = 'delete'), false) AS gone, coalesce(bool_or(op IN ('amend', 'insert')), false) AS changed,
   coalesce(string_agg(raw, '; ' ORDER BY ord, raw) FILTER (op = 'delete'), '') AS gone_text, coalesce(string_agg(raw, '; ' ORDER BY ord, raw), '') AS all_text FROM c LEFT JOIN o ON o.key = c.key AND o.section = c.section GROUP BY 1, 2, 3, 4)
 SELECT citation, key, section, CASE WHEN section = '' THEN '' WHEN gone AND commenced THEN 'REPEALED' WHEN gone THEN 'STALE_RISK' WHEN changed THEN 'AMENDED' ELSE 'CURRENT' END AS status,
@@ -288,7 +288,7 @@ g AS (SELECT *, sum(1 - f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 r AS (SELECT *, sum(f) OVER (PARTITION BY user_id, grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
 SELECT event_id, CAST(run AS BIGINT) AS run, bool_or(run >= 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM r""",
     "degrade_gate": "SELECT user_id, count(*) AS asked, count(*) FILTER (event_type IN ('error', 'click', 'view')) AS failed, count(*) FILTER (event_type IN ('error', 'click', 'view')) > CAST(0.5 AS DOUBLE) * count(*) AS degraded FROM events GROUP BY user_id",
-    "stall_intervals": """WITH g AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id))) AS BIGINT) AS gap FROM events)
+    "stall_intervals": """WITH g AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS gap FROM events)
 SELECT event_id, gap, gap // 1500 AS reports FROM g WHERE gap >= 1500""",
     "heartbeat_totals": f"{_TICKS} SELECT * FROM k",
     "budget_alarm": f"{_TICKS} SELECT min(tick) AS tick, min(total_spent) AS total_spent FROM k WHERE total_spent > 100000",
@@ -299,8 +299,8 @@ SELECT portal, sha256(item) AS fingerprint, count(DISTINCT query) AS n_queries F
     "cache_coverage": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS model, count(*) FILTER (doc_id % 3 = 0) AS live, count(*) AS total FROM documents GROUP BY 1",
     "replay_lookup": "WITH r AS (SELECT DISTINCT url FROM pages WHERE page_id % 4 <> 0) SELECT page_id, CASE WHEN r.url IS NULL THEN 504 ELSE 200 END AS status, r.url IS NULL AS miss FROM pages LEFT JOIN r ON r.url = pages.url",
     "cost_ledger_nullable": """WITH r(model, a, b, c) AS (VALUES ('click', CAST(2 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(8 AS DOUBLE)), ('view', 1, 0.1, 4), ('error', 1, 1, 1), ('signup', 3, 1, 9)),
-p AS (SELECT user_id % 10 AS run, CASE WHEN r.model IS NOT NULL THEN ((event_id % 1000 - least(event_id % 1500, event_id % 1000)) * a + least(event_id % 1500, event_id % 1000) * b + (event_id % 100) * c) / 1e6 END AS cost
-  FROM events LEFT JOIN r ON r.model = event_type WHERE event_type <> 'purchase' OR user_id % 10 < 5)
+p AS (SELECT event_id // 5 AS run, CASE WHEN r.model IS NOT NULL THEN ((event_id % 1000 - least(event_id % 1500, event_id % 1000)) * a + least(event_id % 1500, event_id % 1000) * b + (event_id % 100) * c) / 1e6 END AS cost
+  FROM events LEFT JOIN r ON r.model = event_type)
 SELECT run, count(*) AS calls, CASE WHEN count(*) = count(cost) THEN round(sum(cost), 6) ELSE CAST(-1 AS DOUBLE) END AS cost, count(*) - count(cost) AS unpriced FROM p GROUP BY run""",
     "confusion_micro": """WITH b AS (SELECT coalesce(l.doc_id, d.doc_id) % 4 AS g, l.doc_id AS x, d.doc_id AS y FROM (SELECT doc_id FROM labels WHERE quality = 1) AS l FULL JOIN (SELECT doc_id FROM documents WHERE n_chars > 1500) AS d ON l.doc_id = d.doc_id),
 c AS (SELECT g, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS tp, count(*) FILTER (x IS NULL) AS fp, count(*) FILTER (y IS NULL) AS fn FROM b GROUP BY g)

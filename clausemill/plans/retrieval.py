@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import LATIN_TOKEN, tokens
 from ..operators import retrieval, rules
+from ..session import small
 
 INDICATORS = (
     ("I1", "the and of the transfer with"),
@@ -25,22 +26,32 @@ def indicators(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(indicator, query)")
 
 
-def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    clauses = retrieval.line_clauses(read(spark, sf, "documents"), "source")
-    return clauses, retrieval.bm25(clauses, indicators(spark), ["doc_id", "line_no"])
+CLAUSE = ["corpus", "doc_id", "line_no", "char_start", "char_end", "opening"]
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores by CLAUSE and indicator; `opening`: a clause that states no rule. Texts stay where they are."""
+    clauses = retrieval.line_clauses(read(spark, sf, "documents"), "source").withColumn("opening", rules.boilerplate(F.col("text")))
+    return retrieval.bm25(clauses, indicators(spark), CLAUSE[1:]).withColumn("score", F.round("score", 6))
+
+
+def _texts_of(spark: SparkSession, sf: str, few: DataFrame) -> DataFrame:
+    """Adds the document's text as `whole` to the few rows that are left."""
+    return few.join(read(spark, sf, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
+
+
+def quoted() -> Column:
+    return F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
 
 
 def bm25_topk_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    clauses, scores = _scored(spark, sf)
-    keys = ["corpus", "doc_id", "line_no"]
-    usable = clauses.where(~rules.boilerplate(F.col("text"))).select(*keys, "char_start", "char_end", "text")
-    hits = scores.withColumn("score", F.round("score", 6)).join(usable, keys)
-    top = retrieval.top_k(hits, ["corpus", "indicator"], [F.col("score").desc(), F.col("doc_id"), F.col("line_no")], 3)
-    texts = read(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"))
-    return top.withColumn("norm", F.round(scoring.normalised(F.col("score")), 6)).where("norm >= 0.01").join(texts, "doc_id").select(
-        "corpus", "indicator", "rank", "doc_id", "line_no", "char_start", "char_end", "score", "norm", F.col("text").alias("quote"),
-        (F.substring("whole", F.col("char_start") + 1, F.length("text")) == F.col("text")).alias("verbatim_ok"),
-    )
+    usable = _scored(spark, sf).where(~F.col("opening"))
+    top = retrieval.top_k(usable, ["corpus", "indicator"], [F.col("score").desc(), F.col("doc_id"), F.col("line_no")], 3)
+    few = top.withColumn("norm", F.round(scoring.normalised(F.col("score")), 6)).where("norm >= 0.01")
+    line = F.get(F.split("whole", "\n"), F.col("line_no"))
+    return _texts_of(spark, sf, few).select(
+        "corpus", "indicator", "rank", "doc_id", "line_no", "char_start", "char_end", "score", "norm", line.alias("quote"), (quoted() == line).alias("verbatim_ok")
+    )
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +71,7 @@ def _probes(v: DataFrame) -> DataFrame:
 
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    pairs = v.join(F.broadcast(_probes(v)), F.lit(True))  # a stated query set, a vector a label
+    pairs = v.crossJoin(small(_probes(v)))  # a stated query set, a vector a label, against all rows
     return pairs.select("concept", "vec_id", "label", F.round(scoring.dot(F.col("q"), F.col("v")), 6).alias("sim"))
 
 
@@ -76,12 +87,14 @@ def crosswalk_top6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    sims = _similar(spark, sf)
-    dense = retrieval.top_k(sims, ["concept"], [F.col("sim").desc(), F.col("vec_id")], 40)
-    other = retrieval.top_k(sims, ["concept"], [F.col("sim").asc(), F.col("vec_id")], 470)
-    by = ["concept", "vec_id"]
-    return retrieval.anchored(retrieval.fused([(other, 1.0), (dense, 1.0)], by), ["concept"]).where("rank <= 20").select(
-        "concept", "vec_id", F.coalesce("rank_0", F.lit(0)).alias("rank_0"), F.coalesce("rank_1", F.lit(0)).alias("rank_1"), F.round("fused", 9).alias("fused"), "rank"
+    """Clauses by BM25 and by how many of the query's terms they have, fused; BM25's best stays on top."""
+    scores = _scored(spark, sf)
+    group, ties = ["corpus", "indicator"], [F.col("doc_id"), F.col("line_no")]
+    lexical = retrieval.top_k(scores, group, [F.col("score").desc(), *ties], 40)
+    covering = retrieval.top_k(scores, group, [F.col("n_terms").desc(), *ties], 40)
+    by = [*group, "doc_id", "line_no"]
+    return retrieval.anchored(retrieval.fused([(lexical, 1.0), (covering, 1.0)], by), group).where("rank <= 20").select(
+        *by, F.coalesce("rank_0", F.lit(0)).alias("rank_0"), F.coalesce("rank_1", F.lit(0)).alias("rank_1"), F.round("fused", 9).alias("fused"), "rank"
     )
 
 
@@ -92,8 +105,13 @@ def semantic_bonus_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mrr_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = retrieval.ranked(_similar(spark, sf), ["concept"], [F.col("sim").desc(), F.col("vec_id")])
-    hits = ranks.where("label = concept and rank > 1").groupBy("concept").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 20).alias("in20"))
+    """Of each concept, its nearest vector aside: the rank of the first of its own label, and how many such are among 20; counted, not ranked as a whole."""
+    near = _similar(spark, sf).withColumn("at", F.struct(-F.col("sim"), "vec_id"))
+    nearest = near.groupBy("concept").agg(F.min("at").alias("top"))
+    own = near.where("label = concept").join(nearest, "concept").where("at <> top").groupBy("concept").agg(F.min("at").alias("own"))
+    first = near.join(own, "concept").groupBy("concept").agg((1 + F.count_if(F.col("at") < F.col("own"))).alias("first"))
+    among = retrieval.top_k(near, ["concept"], [F.col("at")], 20).where("label = concept and rank > 1").groupBy("concept").agg(F.count(F.lit(1)).alias("in20"))
+    hits = first.join(among, "concept", "left").na.fill(0, ["in20"])
     return hits.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("first") <= 2).alias("hit1"),
@@ -104,12 +122,7 @@ def mrr_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool_floor_shutout(spark: SparkSession, sf: str) -> DataFrame:
-    _, scores = _scored(spark, sf)
-    hits = scores.withColumn("norm", F.round(scoring.normalised(F.col("score")), 6))
-    by = ["corpus", "doc_id", "line_no"]
-    whole = hits.groupBy("corpus").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("norm") < 0.05).alias("rejected"))
-    shut = hits.select(*by).distinct().join(hits.where("norm >= 0.05").select(*by), by, "left_anti").groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
-    return whole.join(shut, "corpus", "left").select("corpus", "pairs", "rejected", F.coalesce("n", F.lit(0)).alias("shut_out"))
+    return retrieval.pool_floor(_scored(spark, sf), ["corpus", "doc_id", "line_no"], 0.05)
 
 
 def rel_floor_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +147,7 @@ m AS (SELECT corpus, avg(raw) AS mean FROM r GROUP BY corpus),
 i AS (SELECT corpus, term, avgdl, CASE WHEN raw < 0 THEN CAST(0.25 AS DOUBLE) * mean ELSE raw END AS idf FROM r JOIN m USING (corpus)),
 q AS (SELECT indicator, term, count(*) AS qtf FROM (SELECT indicator, unnest({_TOKENS.replace('text', 'query')}) AS term FROM (VALUES {_VALUES}) AS v(indicator, query)) GROUP BY ALL),
 s AS (SELECT corpus, doc_id, line_no, indicator,
-        sum(qtf * idf * CAST(tf AS DOUBLE) * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))) AS score
+        sum(qtf * idf * CAST(tf AS DOUBLE) * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))) AS score, count(*) AS n_terms
       FROM p JOIN i USING (corpus, term) JOIN q USING (term) GROUP BY ALL)"""
 _SIM = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
 v AS (SELECT vec_id, label, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM e),
@@ -162,11 +175,11 @@ SELECT source, term, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n D
     "cosine_topk_per_label": f"{_SIM} SELECT concept, vec_id, sim, CAST(row_number() OVER (PARTITION BY concept ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5",
     "crosswalk_top6": f"""{_SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= 0.2 QUALIFY rank <= 6)
 SELECT vec_id, max(sim) AS sim, string_agg(DISTINCT CAST(concept AS VARCHAR), ',' ORDER BY CAST(concept AS VARCHAR)) AS concepts FROM k GROUP BY vec_id""",
-    "rrf_fusion": f"""{_SIM}, a AS (SELECT concept, vec_id, row_number() OVER (PARTITION BY concept ORDER BY sim, vec_id) AS r FROM s QUALIFY r <= 470),
-b AS (SELECT concept, vec_id, row_number() OVER (PARTITION BY concept ORDER BY sim DESC, vec_id) AS r FROM s QUALIFY r <= 40),
-f AS (SELECT concept, vec_id, a.r AS rank_0, b.r AS rank_1, coalesce(CAST(1 AS DOUBLE) / (60 + a.r), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.r), 0) AS fused FROM a FULL JOIN b USING (concept, vec_id))
-SELECT concept, vec_id, CAST(coalesce(f.rank_0, 0) AS INTEGER) AS rank_0, CAST(coalesce(f.rank_1, 0) AS INTEGER) AS rank_1, round(f.fused, 9) AS fused,
-  CAST(row_number() OVER (PARTITION BY concept ORDER BY CASE WHEN f.rank_0 = 1 THEN 0 ELSE 1 END, f.fused DESC, f.rank_0 NULLS LAST, f.rank_1 NULLS LAST) AS INTEGER) AS rank FROM f QUALIFY rank <= 20""",
+    "rrf_fusion": f"""{_BM25}, a AS (SELECT corpus, indicator, doc_id, line_no, row_number() OVER (PARTITION BY corpus, indicator ORDER BY round(score, 6) DESC, doc_id, line_no) AS r FROM s QUALIFY r <= 40),
+b AS (SELECT corpus, indicator, doc_id, line_no, row_number() OVER (PARTITION BY corpus, indicator ORDER BY n_terms DESC, doc_id, line_no) AS r FROM s QUALIFY r <= 40),
+f AS (SELECT corpus, indicator, doc_id, line_no, a.r AS rank_0, b.r AS rank_1, coalesce(CAST(1 AS DOUBLE) / (60 + a.r), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.r), 0) AS fused FROM a FULL JOIN b USING (corpus, indicator, doc_id, line_no))
+SELECT corpus, indicator, doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(coalesce(f.rank_0, 0) AS INTEGER) AS rank_0, CAST(coalesce(f.rank_1, 0) AS INTEGER) AS rank_1, round(f.fused, 9) AS fused,
+  CAST(row_number() OVER (PARTITION BY corpus, indicator ORDER BY CASE WHEN f.rank_0 = 1 THEN 0 ELSE 1 END, f.fused DESC, f.rank_0 NULLS LAST, f.rank_1 NULLS LAST) AS INTEGER) AS rank FROM f QUALIFY rank <= 20""",
     "semantic_bonus_rerank": f"""{_SIM}, b AS (SELECT vec_id, label, max(sim) AS sim FROM s GROUP BY ALL),
 c AS (SELECT label, vec_id, round(least(1, (vec_id % 10) / CAST(10 AS DOUBLE) + CAST(0.2 AS DOUBLE) * greatest(sim, 0)), 6) AS score FROM b)
 SELECT label, vec_id, score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 5""",

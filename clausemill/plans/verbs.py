@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, scoring, text as X
-from ..operators import citations, currency, evaluation, merge, portals, retrieval, rules, structure
+from ..operators import citations, currency, evaluation, merge, portals, retrieval, rules, structure, telemetry
+from ..session import stage
 from ..sources import console
 from .lanes import _statutes
 from .retrieval import indicators, read
@@ -14,29 +15,39 @@ from .retrieval import indicators, read
 
 def retrieve(clauses: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     """Each indicator's best clauses of every document, which is a corpus of its own; openings that state no rule are left out after scoring."""
-    corpus = clauses.withColumn("corpus", F.col("document_id"))
-    scores = retrieval.bm25(corpus, catalogue, ["clause_id"])
-    texts = corpus.where(~rules.boilerplate(F.col("text"))).select("corpus", "clause_id", "clause_ord", "structural_path", "char_start", "char_end", "text")
-    hits = scores.withColumn("score", F.round("score", 9)).join(texts, ["corpus", "clause_id"])
-    return retrieval.top_k(hits, ["corpus", "indicator"], [F.col("score").desc(), F.col("clause_ord")], k).withColumnRenamed("corpus", "document_id")
-
-
-def cite(documents: DataFrame, catalogue: DataFrame, judge: citations.Judge | None = None, k: int = 3, min_score: float = 0.35, rel_floor: float = 0.6) -> DataFrame:
-    """Citations of documents (document_id, text, title, source_url, economy, primary, status) for a catalogue (indicator, query)."""
+    corpus = clauses.withColumn("corpus", F.col("document_id")).withColumn("opening", rules.boilerplate(F.col("text")))
+    places = ["clause_id", "clause_ord", "structural_path", "char_start", "char_end", "opening"]
+    scores = retrieval.bm25(corpus, catalogue, places).withColumn("score", F.round("score", 9)).where(~F.col("opening")).drop("opening")
+    top = retrieval.top_k(scores, ["corpus", "indicator"], [F.col("score").desc(), F.col("clause_ord")], k)
+    return top.withColumnRenamed("corpus", "document_id").join(clauses.select("document_id", "clause_id", "text"), ["document_id", "clause_id"])
+
+
+def cite(
+    documents: DataFrame, catalogue: DataFrame, judge: citations.Judge | str | None = None, k: int = 3, min_score: float = 0.35, rel_floor: float = 0.6,
+    stored: DataFrame | None = None, model: str = "judge", pool: int = 40,
+) -> DataFrame:
+    """Citations of documents (document_id, text, title, source_url, economy, primary, status) for a catalogue (indicator, query).
+
+    With a judge, its verdicts decide, those that `stored` (key, verdict) has without asking; a document most of whose
+    clauses it failed on falls back to the ranking lane, above the degraded floor, and `lane` says so. Without one the ranking decides.
+    """
     live = documents.where(rules.enforced(rules.merged_status(F.col("status"), rules.lifecycle(F.col("title"), F.col("text")))))
     clauses = structure.parse(live)
-    if judge is None:
-        hits = retrieve(clauses, catalogue, k).withColumn("ord", F.col("clause_ord"))
-        found = citations.ranking_lane(hits.drop("rank"), ["document_id", "indicator"], min_score, rel_floor, k).withColumnRenamed("norm", "confidence")
-    else:
-        hits = retrieve(clauses, catalogue, 40)
+    judge = citations.judge_of(judge)
+    hits = retrieve(clauses, catalogue, k if judge is None else pool)
+    ranked = citations.ranking_lane(hits.withColumn("ord", F.col("clause_ord")).drop("rank"), ["document_id", "indicator"], min_score, rel_floor, k)
+    found = ranked.withColumnRenamed("norm", "confidence").drop("rank", "ord", "opening").withColumn("lane", F.lit("RANKED"))
+    if judge is not None:
         by = ["document_id", "clause_id"]
-        verdicts = citations.judged(hits.select(*by, "text").distinct(), judge, None, "judge", "")
-        places = clauses.select(*by, "clause_ord", "structural_path", "char_start", "char_end")
-        found = citations.clause_lane(hits.select(*by, "indicator", "score"), verdicts, by).join(places, by)
+        hits, found = stage(hits, "cite-hits"), stage(found, "cite-ranked")
+        verdicts = stage(citations.judged(hits.select(*by, "text").distinct(), judge, stored, model, ""), "cite-verdicts")
+        places = hits.select(*by, "clause_ord", "structural_path", "char_start", "char_end").distinct()
+        said = citations.clause_lane(hits.select(*by, "indicator", "score"), verdicts, by).join(places, by)
+        degraded = telemetry.degraded(verdicts, ["document_id"], F.col("verdict").isNull())
+        found = citations.with_fallback(said, found.drop("lane"), degraded, "document_id")
     whole = live.select("document_id", F.col("text").alias("_whole"), "title", "source_url", "economy", "primary")
     claims = found.join(whole, "document_id").select(
-        "document_id", "clause_id", "indicator", "clause_ord", "structural_path", "char_start", "char_end", "confidence", "title", "source_url", "economy", "primary",
+        "document_id", "clause_id", "indicator", "clause_ord", "structural_path", "char_start", "char_end", "confidence", "lane", "title", "source_url", "economy", "primary",
         F.col("text").alias("span_text"), F.substring(F.col("_whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("quote"),
         F.lit(None).cast("double").alias("ocr_confidence"), F.lit("match").alias("label"),
     )
@@ -80,7 +91,7 @@ def map_citations(spark: SparkSession, sf: str) -> DataFrame:
 def map_current(spark: SparkSession, sf: str) -> DataFrame:
     """The map with currency: amending texts by title and year."""
     docs = _documents(spark, sf)
-    a = read(spark, sf, "orders").where("o_orderkey < 60").select(
+    a = read(spark, sf, "orders").select(
         F.concat(F.lit("title:data act "), (2000 + F.col("o_orderkey") % 20).cast("string")).alias("key"), (2005 + F.col("o_orderkey") % 15).cast("int").alias("year"),
         F.concat(F.lit("Act A"), F.col("o_orderkey").cast("string")).alias("amending_id"), F.lit("").alias("title"), F.lit("corpus").alias("detected_by"), F.col("o_orderkey").alias("ord"),
         F.concat(F.lit("Section "), (F.col("o_orderkey") % 7 + 1).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " of the principal Act is deleted.").otherwise(" of the principal Act is amended.")).alias("text"),
@@ -128,7 +139,7 @@ def graded_ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blind_order(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.blind(read(spark, sf, "benchmark").select("item_id"), F.lit(7), F.col("item_id"), [])
+    return evaluation.blind(read(spark, sf, "part").select("p_partkey", "p_brand"), F.col("p_brand"), F.col("p_partkey"), ["p_brand"])
 
 
 def fallback_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +179,7 @@ SELECT indicator, section, count(*) AS n_methods, min(r) AS best, string_agg(m |
     "graded_ranks": """WITH x AS (SELECT l_orderkey % 300 AS q, l_partkey % 90 AS item, min(l_linenumber) AS rank FROM lineitem GROUP BY 1, 2), g AS (SELECT DISTINCT c_custkey % 300 AS q, c_custkey % 90 AS item FROM customer),
 f AS (SELECT q, min(rank) AS first, count(*) AS wanted, count(rank) AS found FROM g LEFT JOIN x USING (q, item) GROUP BY q)
 SELECT count(*) AS n, count(*) FILTER (first <= 1) AS hit1, count(*) FILTER (first <= 3) AS hit3, round(coalesce(sum(CAST(1 AS DOUBLE) / first), 0) / greatest(count(*), 1), 6) AS mrr, round(CAST(sum(found) AS DOUBLE) / sum(wanted), 6) AS recall FROM f""",
-    "blind_order": "SELECT item_id, CAST(row_number() OVER (ORDER BY sha256('7|' || item_id)) AS INTEGER) AS place FROM benchmark",
+    "blind_order": "SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_brand || '|' || p_partkey)) AS INTEGER) AS place FROM part",
     "fallback_reasons": "WITH u AS (SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS reasons FROM events GROUP BY 1) SELECT reasons, count(*) AS n FROM u GROUP BY 1",
     "stored_blobs": """WITH d AS (SELECT 'sha256:' || sha256(text) AS sha256, doc_id, CAST(length(text) AS INTEGER) AS size FROM documents)
 SELECT sha256, doc_id, size FROM d WHERE sha256 NOT IN (SELECT sha256 FROM d WHERE doc_id < 50) QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) = 1""",

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
@@ -57,6 +58,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """`df` to be broadcast if it has `most` rows at most, which is looked up; else as it is, and Spark decides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 _shipped: set[str] = set()
 
 

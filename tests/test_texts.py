@@ -68,13 +68,16 @@ def test_token_sets():
     assert 50 < token_set_ratio_of("data protection act", "data protection order") < 100
 
 
-def test_pages():
+def test_pages(spark):
+    frame = lambda texts: spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "document_id string, page_number int, text string")
+    of = lambda df: [r.text for r in df.orderBy("page_number").collect()]
+    kept = lambda texts: of(pages.joined(pages.without_running(pages.lines_of(frame(texts)))))
     body = ["Running Title %d\nAct 762\n%s\nlast words of page %d here.\nAnd more text.\n%d" % (i, "Some body %s" % chr(97 + i), i, i) for i in range(5)]
-    clean = pages.without_running(body)
-    assert all("Running" not in p and "Act 762" not in p and "Some body" in p for p in clean)
-    assert pages.without_running(body[:3]) == body[:3]
-    assert pages.without_tail(["Text ends.", "Rest.\nPRINTED BY X", "", "List of amendments"]) == ["Text ends.", "Rest.", "", ""]
-    assert pages.navigation_header("Section 7") and pages.navigation_header("Part 2  Rules") and not pages.navigation_header("Part 2—Rules")
+    assert all("Running" not in p and "Act 762" not in p and "Some body" in p for p in kept(body))
+    assert kept(body[:3]) == body[:3]
+    assert of(pages.without_tail(frame(["Text ends.", "Rest.\nPRINTED BY X", "", "List of amendments"]))) == ["Text ends.", "Rest.", "", ""]
+    lines = spark.createDataFrame([("Section 7", True), ("Part 2  Rules", True), ("Part 2—Rules", False)], "line string, want boolean")
+    assert lines.where(pages.navigation_header(F.col("line")) != F.col("want")).count() == 0
 
 
 def test_reading_order_keeps_columns():
