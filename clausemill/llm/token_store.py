@@ -166,7 +166,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write the store: one pass over the texts, one shuffle of chunks, one of recipes by range."""
     spark = docs.sparkSession
-    rows = encoded(docs, tokenizer or default_path(), end_id).repartition("key")
+    # recipes of documents that are alike have one key: their ids deal them out
+    rows = encoded(docs, tokenizer or default_path(), end_id).repartition(F.xxhash64("key", F.coalesce("doc_id", F.lit(-1))))
     rows.mapInArrow(_once, _ENCODED_SQL).write.option("compression", "none").parquet(f"{path}/encoded")  # payloads are pressed
     found = spark.read.schema(_ENCODED_SQL).parquet(f"{path}/encoded").where("kind = 'recipe'").drop("kind", "payload")
     placed = found.repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "doc_id", "key")
