@@ -138,7 +138,12 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 _TOP = f"""{_BM25}, k AS (SELECT corpus, doc_id, line_no, indicator, round(score, 6) AS score, row_number() OVER (PARTITION BY corpus, indicator ORDER BY round(score, 6) DESC, doc_id, line_no) AS r FROM s QUALIFY r <= 40),
 h AS (SELECT k.*, c.text FROM k JOIN c USING (corpus, doc_id, line_no))"""
+_CHROME = " OR ".join(f"contains(lower(href || ' ' || t), '{m}')" for m in rules.CHROME)
 ORACLE_SQL = {
+    "html_links": rf"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS h, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t,
+  unnest(generate_series(0, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) - 1)) AS ord FROM pages),
+f AS (SELECT page_id, ord, base || h AS href, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM l)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, href, t AS anchor_text FROM f WHERE NOT ({_CHROME}) AND regexp_replace(lower(t), '\.+$', '') NOT IN ({', '.join(repr(w.rstrip('.')) for w in rules.NAVIGATION)})""",
     "statute_verbatim": """WITH l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS x, unnest(generate_series(0, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) - 1)) AS i FROM documents),
 d AS (SELECT doc_id, count(*) + count(*) FILTER (i % 3 = 0) + (doc_id % 7 = 0)::INTEGER AS clauses, count(*) + (doc_id % 7 = 0)::INTEGER AS heads,
   sum(length(CAST(i + 1 AS VARCHAR)) + 2 + length(x) + CASE WHEN i % 3 = 0 THEN 14 ELSE 1 END) + CASE WHEN doc_id % 7 = 0 THEN 28 ELSE 0 END AS chars FROM l GROUP BY doc_id)
