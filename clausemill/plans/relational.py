@@ -171,7 +171,7 @@ def replay_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def cost_ledger_nullable(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events").select(F.col("event_type").alias("model"), F.floor(F.col("event_id") / 5).alias("run"), F.col("event_id"))
-    rates = spark.sql("SELECT * FROM VALUES ('click', 2.0D, 0.5D, 8.0D), ('view', 1.0D, 0.1D, 4.0D), ('error', 1.0D, 1.0D, 1.0D), ('signup', 3.0D, 1.0D, 9.0D) AS t(model, a, b, c)")
+    rates = spark.sql("SELECT * FROM VALUES ('click', 2.0D, 1.0D, 8.0D), ('view', 3.0D, 1.0D, 4.0D), ('error', 1.0D, 1.0D, 1.0D), ('signup', 3.0D, 1.0D, 9.0D) AS t(model, a, b, c)")
     price = scoring.cost(F.col("event_id") % 1000, F.col("event_id") % 1500, F.col("event_id") % 100, F.col("a"), F.col("b"), F.col("c"))
     return reports.priced(e, rates, "model", price, ["run"]).withColumn("cost", F.coalesce("cost", F.lit(-1.0)))
 
@@ -298,7 +298,7 @@ SELECT portal, sha256(item) AS fingerprint, count(DISTINCT query) AS n_queries F
     "cache_miss_anti": "WITH d AS (SELECT doc_id, sha256('m1' || chr(0) || lang || chr(0) || text) AS key FROM documents) SELECT key, doc_id FROM d WHERE key NOT IN (SELECT key FROM d WHERE doc_id % 3 = 0)",
     "cache_coverage": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS model, count(*) FILTER (doc_id % 3 = 0) AS live, count(*) AS total FROM documents GROUP BY 1",
     "replay_lookup": "WITH r AS (SELECT DISTINCT url FROM pages WHERE page_id % 4 <> 0) SELECT page_id, CASE WHEN r.url IS NULL THEN 504 ELSE 200 END AS status, r.url IS NULL AS miss FROM pages LEFT JOIN r ON r.url = pages.url",
-    "cost_ledger_nullable": """WITH r(model, a, b, c) AS (VALUES ('click', CAST(2 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(8 AS DOUBLE)), ('view', 1, 0.1, 4), ('error', 1, 1, 1), ('signup', 3, 1, 9)),
+    "cost_ledger_nullable": """WITH r(model, a, b, c) AS (VALUES ('click', CAST(2 AS DOUBLE), CAST(1 AS DOUBLE), CAST(8 AS DOUBLE)), ('view', 3, 1, 4), ('error', 1, 1, 1), ('signup', 3, 1, 9)),
 p AS (SELECT event_id // 5 AS run, CASE WHEN r.model IS NOT NULL THEN ((event_id % 1000 - least(event_id % 1500, event_id % 1000)) * a + least(event_id % 1500, event_id % 1000) * b + (event_id % 100) * c) / 1e6 END AS cost
   FROM events LEFT JOIN r ON r.model = event_type)
 SELECT run, count(*) AS calls, CASE WHEN count(*) = count(cost) THEN round(sum(cost), 6) ELSE CAST(-1 AS DOUBLE) END AS cost, count(*) - count(cost) AS unpriced FROM p GROUP BY run""",
