@@ -149,15 +149,20 @@ def adjudicated(citations: DataFrame, ops: DataFrame) -> DataFrame:
 def renamed(citations: DataFrame, ops: DataFrame, label: Column) -> DataFrame:
     """Citations (citation, key, quote) with `rename_note`: the first of their law's renames whose old term the quote has, case aside.
 
-    A law's renames are few; they travel to its citations as one row.
+    Of a law's renames of one term only the first can be told, so what travels to its citations, as one row, has a rename for
+    each old term. A quote is lowered once, and searched until a term is found.
     """
     note = F.concat(F.lit('term "'), F.col("old_term"), F.lit('" renamed to "'), F.col("new_term"), F.lit('" by '), label)
-    renames = ops.where("kind = 'GLOBAL_RENAME' and old_term <> ''").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.lower("old_term").alias("old"), note.alias("note")))).alias("_renames")
-    )
+    firsts = ops.where("kind = 'GLOBAL_RENAME' and old_term <> ''").groupBy("key", F.lower("old_term").alias("old")).agg(F.min(F.struct("ord", note.alias("note"))).alias("_first"))
+    renames = firsts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_first.ord", "old", "_first.note"))).alias("_renames"))
     out = citations.join(renames, "key", "left")
-    held = F.filter("_renames", lambda r: F.contains(F.lower(F.coalesce("quote", F.lit(""))), r["old"]))
-    return out.withColumn("rename_note", F.coalesce(F.get(held, 0)["note"], F.lit(""))).drop("_renames")
+    none = F.lit(None).cast(out.schema["_renames"].dataType.elementType)
+
+    def held(text: Column) -> Column:
+        return F.aggregate("_renames", none, lambda found, r: F.coalesce(found, F.when(F.contains(text, r["old"]), r)))
+
+    lowered = F.array(F.lower(F.coalesce("quote", F.lit(""))))  # by a lambda, so that it isn't evaluated for each term
+    return out.withColumn("rename_note", F.coalesce(F.get(F.transform(lowered, held), 0)["note"], F.lit(""))).drop("_renames")
 
 
 def principals(documents: DataFrame) -> DataFrame:

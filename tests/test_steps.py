@@ -1,6 +1,7 @@
 """Steps that SQL can't express, and edges of those that it can."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,31 @@ def test_empty_tables(spark):
     assert rules.tidy_names(spark.createDataFrame([], "g int, name string, ord int"), ["g"]).count() == 0
 
 
+def test_renames_of_one_term_cost_no_search_each(spark):
+    """A law with 40,000 renames of two terms: the first that the quote has counts, and a quote isn't searched for each of them."""
+    k = F.col("id")
+    ops = spark.range(40_000).select(
+        F.lit(1).alias("key"), (50_000 - k).alias("ord"), F.lit("GLOBAL_RENAME").alias("kind"),
+        F.when(k % 4 == 0, "Zebra").when(k % 4 == 1, "zEBRA").when(k % 4 == 2, "Gnu").otherwise("").alias("old_term"), k.cast("string").alias("new_term"),
+    )
+    quotes = ["", "a ZEBRA ", "gnus and zebras ", "none", "gnu"] * 20
+    cites = spark.createDataFrame([(i, 1 if i < 99 else 2, q + "x" * 20_000) for i, q in enumerate(quotes)], "citation int, key int, quote string")
+    began = time.perf_counter()
+    got = [r.rename_note for r in currency.renamed(cites, ops, F.lit("Act 9")).orderBy("citation").collect()]
+    assert time.perf_counter() - began < 60
+    zebra, gnu = 'term "zEBRA" renamed to "39997" by Act 9', 'term "Gnu" renamed to "39998" by Act 9'
+    assert got == (["", zebra, gnu, "", gnu] * 20)[:99] + [""]
+
+
+def test_first_rename_of_a_quote_by_order_then_term(spark):
+    rows = [(1, 2, "a B", "late"), (1, 1, "Q", "first"), (1, 2, "A b", "early"), (1, 1, "a c", None), (1, None, "z", "unplaced"), (2, 1, "q", "other law")]
+    ops = spark.createDataFrame(rows, "key int, ord int, old_term string, new_term string").withColumn("kind", F.lit("GLOBAL_RENAME"))
+    cites = spark.createDataFrame([(0, 1, "A B"), (1, 1, "a b q"), (2, 1, "A C, q"), (3, 1, "z q"), (4, 2, "Q"), (5, None, "q"), (6, 1, None)], "citation int, key int, quote string")
+    got = [r.rename_note for r in currency.renamed(cites, ops, F.lit("x")).orderBy("citation").collect()]
+    told = [("A b", "early"), ("Q", "first"), None, ("z", "unplaced"), ("q", "other law"), None, None]  # a term whose new one is unknown gives no note
+    assert got == ['term "{}" renamed to "{}" by x'.format(*t) if t else "" for t in told]
+
+
 def test_judge_with_stored_verdicts_and_fallback(spark):
     from clausemill.plans.verbs import cite
 
