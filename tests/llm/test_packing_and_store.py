@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import shutil
 import zlib
 from array import array
@@ -52,6 +53,24 @@ def test_encoder_starts_afresh(library, monkeypatch):
     assert e.ids(long) == raw(library(long)) == e.ids(long) and max(map(len, [*e.known, *e.known.old])) <= tokens.LONGEST
 
 
+def test_plain_texts_are_cut_by_their_bytes(library):
+    """Every plain character beside every other, and random texts: the pieces are those of the rule, the ids the library's."""
+    from clausemill.llm import tokens
+
+    rule = re.compile(r"[a-zß-öø-ÿœ]+|[^\sa-zß-öø-ÿœ]+")
+    letters = [c for c in tokens._PLAIN.decode("cp1252")]
+    rng, e = random.Random(3), Encoder(default_path())
+    texts = ["", " ", "a", ".", "a.", ".a", " a. ", "\u0152UVRE \u0153uvre.", "\xc9T\xc9, \xd6\xf6 \xdf\xff"] + ["".join(f"{a}{b} " for b in letters if a + b != "<|") for a in letters]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(500)]
+    for t in texts:
+        raw_text = tokens.plain(t)
+        assert raw_text is not None or "<|" in t
+        if raw_text is not None:
+            assert tokens.runs(raw_text) == rule.findall(t.lower())
+        assert e.ids(t) == raw(library(t)) == e.ids(t)
+    assert [tokens.plain(t) for t in ("it's", "<|endoftext|>", "\x9c", "\u65e5", "a\x1cb", "\xb5", "a\xa0b", "a\x85b", "\xd7", "\xf7")] == [None] * 10
+
+
 def best_count(lengths, capacity):
     """Fewest bins, by trying."""
     best = [len(lengths)]
